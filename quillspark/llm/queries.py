@@ -37,11 +37,26 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    return bpe.encoded(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontamination, license_scan
+    from . import decontamination, license_scan, suffix_dedup
 
-    return {"op4_decontamination": decontamination.ORACLE_SQL, "op8_license_scan": license_scan.oracle_sql()}
+    return {
+        "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op4_decontamination": decontamination.ORACLE_SQL, "op8_license_scan": license_scan.oracle_sql(),
+    }
