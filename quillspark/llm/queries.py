@@ -62,14 +62,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embedding_dedup
+
+    return embedding_dedup.duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontamination, license_scan, suffix_dedup
+    from . import decontamination, embedding_dedup, license_scan, suffix_dedup
 
     return {
+        "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op4_decontamination": decontamination.ORACLE_SQL, "op8_license_scan": license_scan.oracle_sql(),
     }
