@@ -68,6 +68,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat_format
+
+    return chat_format.formatted(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

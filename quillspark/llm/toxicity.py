@@ -92,6 +92,47 @@ class Model:
         return np.where(np.isfinite(z), 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
 
 
+class Bag:
+    """The words of a sample as rows of distinct words, and these as buckets; built slice by slice to stay small.
+
+    ``row``: distinct word by word; ``offset``: first word of each text; the buckets of distinct word r are ``bucket[begin[r]:begin[r + 1]]``.
+    """
+
+    def __init__(self, texts: list[str]):
+        hashes, counts, known, buckets, sizes = [], [], np.zeros(0, np.uint64), [], []
+        for lo, hi in slices(texts):
+            w = Words(texts[lo:hi])
+            hashes.append(w.hash)
+            counts.append(w.counts)
+            if not len(w):
+                continue
+            _, bucket, rows = word_grams(w)
+            distinct = np.unique(w.hash)
+            fresh = ~np.isin(distinct, known)
+            pick = fresh[rows]
+            order = np.argsort(rows[pick], kind="stable")
+            buckets.append(bucket[pick][order])
+            sizes.append(np.bincount(rows, minlength=len(distinct))[fresh])
+            known = np.concatenate([known, distinct[fresh]])
+        self.offset = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        self.bucket = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
+        order = np.argsort(known)
+        self.row = order[np.searchsorted(known[order], np.concatenate(hashes))].astype(np.int32) if len(known) else np.zeros(0, np.int32)
+
+    def documents(self, toxic: np.ndarray) -> np.ndarray:
+        """How many toxic and how many other texts each bucket occurs in."""
+        seen, flag = np.zeros((2, BUCKETS), np.int64), np.zeros(BUCKETS, bool)
+        for d in range(len(toxic)):
+            ws = np.unique(self.row[self.offset[d] : self.offset[d + 1]])
+            n = self.begin[ws + 1] - self.begin[ws]
+            b = self.bucket[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[ws], n)]
+            flag[b] = True
+            seen[0 if toxic[d] else 1] += flag
+            flag[b] = False
+        return seen
+
+
 def fit(texts: list[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7, min_docs: int = 3) -> Model:
     """Jointly fit bucket vectors and softmax on whole texts with 0/1 labels.
 
@@ -101,14 +142,12 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7, mi
     Buckets seen in fewer than ``min_docs`` texts keep a zero vector.
     """
     y = np.asarray(toxic, float)
-    w = Words(texts) if len(texts) else None
-    if w is None or not len(w) or not 0 < y.sum() < len(y):
+    bag = Bag(texts)
+    if not len(bag.row) or not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS), -50.0)
-    row, bucket, rows = word_grams(w)
-    order = np.argsort(rows, kind="stable")
-    bucket, grams = bucket[order], np.bincount(rows)
-    begin = np.concatenate([[0], np.cumsum(grams)])
-    in_toxic, in_other = bucket_documents(w, row, bucket, begin, y > 0)
+    row, bucket, begin, offset = bag.row, bag.bucket, bag.begin, bag.offset
+    grams = np.diff(begin)
+    in_toxic, in_other = bag.documents(y > 0)
     n1, n0 = y.sum(), (1 - y).sum()
     known = in_toxic + in_other >= min_docs
     p1, p0 = in_toxic / n1, in_other / n0
@@ -120,11 +159,11 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7, mi
     soft /= np.linalg.norm(soft)
     vec = (rng.normal(0, 0.01, (BUCKETS, DIM)) + lift[:, None] * 1.5 * soft) * known[:, None]
     bias, mv, ms, mb = -3.0, np.zeros((BUCKETS, DIM)), np.zeros(DIM), 0.0
-    has = w.counts > 0
+    has = np.diff(offset) > 0
     balance = np.where(y > 0, 0.2 / n1, 0.8 / n0) * has  # about one labelled document in five or fewer is toxic
     for t in range(1, epochs + 1):
-        score = np.add.reduceat((vec @ soft)[bucket], begin[:-1]) / grams
-        z, where, size = passages(GAIN * score[row], w.offset)
+        score = np.add.reduceat((vec @ soft).astype(np.float32)[bucket], begin[:-1]) / grams
+        z, where, size = passages(GAIN * score[row], offset)
         p = 1 / (1 + np.exp(-np.clip(np.where(has, z, -50) + bias, -50, 50)))
         g = (p - y) * balance * np.where((t > epochs // 2) & (y > 0) & (p < 0.3), 0.0, 1.0)
         doc = np.repeat(np.arange(len(y)), size)
@@ -144,23 +183,6 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = 60, seed: int = 7, mi
     return Model((GAIN * (vec @ soft)).astype(np.float32), float(bias))
 
 
-def bucket_documents(w: Words, row: np.ndarray, bucket: np.ndarray, begin: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """How many toxic and how many other texts each bucket occurs in (grams of a word laid out by ``begin``)."""
-    pair = np.unique(w.doc_of_word() * np.int64(len(begin)) + row)
-    doc, word = pair // len(begin), pair % len(begin)
-    seen = np.zeros((2, BUCKETS), np.int64)
-    edges = np.searchsorted(doc, np.arange(len(w.counts) + 1))
-    flag = np.zeros(BUCKETS, bool)
-    for d in range(len(w.counts)):
-        ws = word[edges[d] : edges[d + 1]]
-        n = begin[ws + 1] - begin[ws]
-        b = bucket[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[ws], n)]
-        flag[b] = True
-        seen[0 if toxic[d] else 1] += flag
-        flag[b] = False
-    return seen
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int) -> tuple[list[str], np.ndarray]:
     """Whole texts of at most max_labelled labelled documents, half of each class, chosen by hash of the id."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -176,7 +198,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_labelled
     return [r[1] for r in rows], np.array([ids[r[0]] for r in rows])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000) -> Model:
     return fit(*labelled_sample(id_text(docs), labels, "toxic", max_labelled))
 
 
@@ -190,12 +212,12 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, probability double")
 
 
-def rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, max_labelled: int = 3000) -> DataFrame:
+def rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, max_labelled: int = 2000) -> DataFrame:
     """(doc_id, probability, toxic) for each row at or above the threshold: what a filter takes out."""
     return scored(docs, train(docs, labels, max_labelled)).where(F.col("probability") >= threshold).withColumn("toxic", F.lit(True))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, max_labelled: int = 3000) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, max_labelled: int = 2000) -> DataFrame:
     """The rows of docs below the threshold, all columns as they are, judged in one pass over the text."""
     model = train(docs, labels, max_labelled)
 
