@@ -1 +1 @@
-
+"""Configurations and the plans built from them."""
