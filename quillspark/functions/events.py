@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..plans.model import DRIVERS, TOKENIZERS, BadPipeline, LoadError, Param
 from .porter import stem
-from .text import chars, ngrams
+from .text import chars, ngrams, run_of
 from .word_lists import FUNCTION_WORDS, MOSTELLER_WALLACE
 
 Driver = Callable[[DataFrame, str], DataFrame]
@@ -147,7 +147,7 @@ def leave_k_out_word_ngram(n: int, k: int, tokenizer: str) -> Driver:
 
 def _sorted_grams(n: int, sep: str, bind: Callable[[Column], Column]) -> Driver:
     return _over(
-        lambda a: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.array_sort(F.slice(a, i, n)), sep))).otherwise(EMPTY),
+        lambda a: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.array_sort(F.array(*run_of(a, i, n))), sep))).otherwise(EMPTY),
         bind,
     )
 

@@ -121,8 +121,13 @@ def jieba_tokenizer(mode: str):
     return F.pandas_udf(cut, "array<string>")
 
 
+def run_of(a: Column, i: Column, n: int, step: int = 1) -> list[Column]:
+    """The n elements from the i-th on. ``slice`` would copy the whole array for every i."""
+    return [F.element_at(a, (i + j * step).cast("int")) for j in range(n)]
+
+
 def ngrams(a: Column, n: int, sep: str) -> Column:
     """Runs of n successive elements, joined. ``a`` must be a bound column."""
     return F.when(
-        F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), sep))
+        F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.concat_ws(sep, *run_of(a, i, n)))
     ).otherwise(_NONE)

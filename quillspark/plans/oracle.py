@@ -21,10 +21,6 @@ def low(t: str) -> str:
     return f"trim(regexp_replace(lower({t}), '{WS}', ' ', 'g'))"
 
 
-def grams(n: int, sep: str, a: str = "a", inner: str = "{}") -> str:
-    return f"[array_to_string({inner.format(f'{a}[i:i+{n - 1}]')}, '{sep}') for i in range(1, len({a}) - {n - 2})]"
-
-
 CHARS = "list_filter(string_split(text, ''), lambda x: x <> '')"
 SENTENCES = "regexp_split_to_array(text, '[.!?]+')"
 LINES = "string_split(text, chr(10))"
@@ -40,6 +36,14 @@ def _totals(bind: str, expr: str) -> str:
 SELECT event, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS df FROM e GROUP BY event"""
 
 
+def _runs(bind: str, expr: str, last: str) -> str:
+    """Events made of successive elements x0, x1, x2 of a list; ``last`` must exist."""
+    return f"""WITH w AS (SELECT doc_id, {bind} AS a FROM documents), s AS (SELECT doc_id, unnest(a) AS x0, unnest(range(len(a))) AS i FROM w),
+r AS (SELECT doc_id, x0, lead(x0, 1) OVER o AS x1, lead(x0, 2) OVER o AS x2 FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT doc_id, {expr} AS event FROM r WHERE {last} IS NOT NULL)
+SELECT event, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS df FROM e GROUP BY event"""
+
+
 def _counted(expr: str, where: str = "TRUE") -> str:
     return f"""WITH w AS (SELECT doc_id, unnest({words('text')}) AS x FROM documents), c AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id, x) AS c FROM w),
 e AS (SELECT doc_id, {expr} AS event FROM c WHERE {where})
@@ -47,26 +51,26 @@ SELECT event, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS df FROM e
 
 
 W = words("text")
-_MASKS = "flatten([[array_to_string(['_', a[i+1], a[i+2]], ' '), array_to_string([a[i], '_', a[i+2]], ' '), array_to_string([a[i], a[i+1], '_'], ' ')] for i in range(1, len(a) - 1)])"
+_MASKS = "unnest(['_ ' || x1 || ' ' || x2, x0 || ' _ ' || x2, x0 || ' ' || x1 || ' _'])"
 _TIMES = "CASE lower(x) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAMPLE_TIMES.items()) + " END"
 
 EVENTS = {
-    "character_ngram": _totals(CHARS, grams(3, "")),
+    "character_ngram": _runs(CHARS, "x0 || x1 || x2", "x2"),
     "word_events": _totals(W, "a"),
-    "word_ngram": _totals(W, grams(2, " ")),
+    "word_ngram": _runs(W, "x0 || ' ' || x1", "x1"),
     "function_words": _totals(W, f"list_filter([lower(x) for x in a], lambda x: x IN ({_in(load_function_words('english'))}))"),
     "word_length": _totals(W, "[length(x)::VARCHAR for x in a]"),
     "sentence_length": _totals(SENTENCES, f"[n::VARCHAR for n in [len({words('s')}) for s in a] if n > 0]"),
     "character_events": _totals(CHARS, "a"),
     "punctuation": _totals(CHARS, rf"list_filter(a, lambda c: regexp_full_match(c, '[^\p{{L}}\p{{N}}{SPACE}]'))"),
-    "punctuation_ngram": _totals("list_filter(string_split(regexp_replace(text, '[^[:punct:]]', '', 'g'), ''), lambda x: x <> '')", grams(2, "")),
+    "punctuation_ngram": _runs("list_filter(string_split(regexp_replace(text, '[^[:punct:]]', '', 'g'), ''), lambda x: x <> '')", "x0 || x1", "x1"),
     "mw_function_words": _totals(W, f"list_filter([lower(x) for x in a], lambda x: x IN ({_in(MOSTELLER_WALLACE)}))"),
-    "leave_k_out_character_ngram": _totals(CHARS, _MASKS),
-    "leave_k_out_word_ngram": _totals(W, _MASKS),
-    "sorted_character_ngram": _totals(CHARS, grams(3, "", inner="list_sort({})")),
-    "sorted_word_ngram": _totals(W, grams(2, " ", inner="list_sort({})")),
-    "k_skip_character_ngram": _totals(CHARS, "[a[i] || a[i+2] for i in range(1, len(a) - 1)]"),
-    "k_skip_word_ngram": _totals(W, "[a[i] || ' ' || a[i+2] for i in range(1, len(a) - 1)]"),
+    "leave_k_out_character_ngram": _runs(CHARS, _MASKS, "x2"),
+    "leave_k_out_word_ngram": _runs(W, _MASKS, "x2"),
+    "sorted_character_ngram": _runs(CHARS, "array_to_string(list_sort([x0, x1, x2]), '')", "x2"),
+    "sorted_word_ngram": _runs(W, "array_to_string(list_sort([x0, x1]), ' ')", "x1"),
+    "k_skip_character_ngram": _runs(CHARS, "x0 || x2", "x2"),
+    "k_skip_word_ngram": _runs(W, "x0 || ' ' || x2", "x2"),
     "suffix": _totals(W, "[right(x, 3) for x in a if length(x) >= 3]"),
     "rare_words": _counted("x", "c = 1"),
     "vowel_initial_words": _totals(W, "list_filter(a, lambda x: x[1] IN ('a','e','i','o','u','A','E','I','O','U'))"),
@@ -77,7 +81,7 @@ EVENTS = {
     "mn_letter_words": _totals(W, "list_filter(a, lambda x: length(x) BETWEEN 1 AND 3)"),
     "vowel_mn_letter_words": _totals(W, "list_filter(a, lambda x: length(x) BETWEEN 1 AND 5 AND lower(x[1]) IN ('a','e','i','o','u'))"),
     "syllables_per_word": _totals(W, SYLLABLES),
-    "syllable_transitions": _totals(f"(SELECT {SYLLABLES} FROM (SELECT {W} AS a))", grams(2, " ")),
+    "syllable_transitions": _runs(f"(SELECT {SYLLABLES} FROM (SELECT {W} AS a))", "x0 || ' ' || x1", "x1"),
     "truncated_frequency": _counted("(length(bin(c)) - 1)::VARCHAR"),
     "reaction_time": _totals(W, f"list_filter([{_TIMES} for x in a], lambda v: v IS NOT NULL)"),
 }

@@ -52,8 +52,13 @@ def featured(docs: DataFrame, config: Config) -> tuple[DataFrame, bool]:
 
 
 def histogram(featured_docs: DataFrame) -> DataFrame:
-    """(doc_id, event, cnt)."""
-    return featured_docs.select("doc_id", F.explode("events").alias("event")).groupBy("doc_id", "event").agg(F.count("*").alias("cnt"))
+    """(doc_id, event, cnt).
+
+    The outer form keeps the optimizer from copying the event expression into a filter on its size below the generator, where the
+    arrays that its lambdas read would be inlined and split again for every element.
+    """
+    rows = featured_docs.select("doc_id", F.explode_outer("events").alias("event")).where("event IS NOT NULL")
+    return rows.groupBy("doc_id", "event").agg(F.count("*").alias("cnt"))
 
 
 @dataclass
