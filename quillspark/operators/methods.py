@@ -114,8 +114,8 @@ def nearest_neighbor() -> Method:
 
 
 def votes(pairs: DataFrame, k: int) -> DataFrame:
-    """(u, author, score): shares of the k nearest; pairs (u, k, author, dist)."""
-    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy("dist", "k"))).where(F.col("r") <= k)
+    """(u, author, score): shares of the k nearest, ties (to ten digits) by id; pairs (u, k, author, dist)."""
+    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.round("dist", 10), "k"))).where(F.col("r") <= k)
     return near.groupBy("u", "author").agg(F.count("*").alias("v")).withColumn("score", F.col("v") / F.sum("v").over(W.partitionBy("u"))).drop("v")
 
 

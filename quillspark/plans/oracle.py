@@ -194,9 +194,7 @@ _S = "SELECT doc_id, author, round({}, 7)::DOUBLE AS score FROM {} GROUP BY doc_
 def distance_sql() -> dict[str, str]:
     out = {k: f"WITH {UNION} {_S.format(v, 'y')}" for k, v in DISTANCES.items()}
     out["kendall_correlation"] = f"WITH {_PAIRS} " + _S.format("(1 - sum(s) / count(*)) / 2", "z")
-    both = "sqrt((count(*) FILTER (NOT tp)) * (count(*) FILTER (NOT tq)))"
     tau = "((count(*) FILTER (NOT (tp AND tq)) - count(*) FILTER (tp AND NOT tq))::DOUBLE * (count(*) FILTER (NOT (tp AND tq)) - count(*) FILTER (tq AND NOT tp)))"
-    _ = both
     out["kendall_tau_b"] = f"WITH {_PAIRS} " + _S.format(f"CASE WHEN {tau} > 0 THEN (1 - sum(s) / sqrt({tau})) / 2 ELSE 0 END", "z")
     return out
 
@@ -234,7 +232,7 @@ sd AS (SELECT event, stddev_pop(f) AS sd FROM dense WHERE known GROUP BY event H
 pm AS (SELECT author, event, avg(f) AS a FROM dense WHERE known GROUP BY ALL)"""
 _EDER = _cut(200) + """,
 tt AS (SELECT doc_id, sum(cnt)::DOUBLE AS t FROM c GROUP BY doc_id),
-dense AS (SELECT d.doc_id, d.author, d.known, keep.event, sqrt(coalesce(c.cnt / t, 0)) AS f FROM d CROSS JOIN keep LEFT JOIN c ON c.doc_id = d.doc_id AND c.event = keep.event LEFT JOIN tt ON tt.doc_id = d.doc_id),
+dense AS (SELECT d.doc_id, d.author, d.known, keep.event, sqrt(coalesce(c.cnt / tt.t, 0)) AS f FROM d CROSS JOIN keep LEFT JOIN c ON c.doc_id = d.doc_id AND c.event = keep.event LEFT JOIN tt ON tt.doc_id = d.doc_id),
 sd AS (SELECT event, CASE WHEN min(f) = max(f) THEN 0 ELSE stddev_samp(f) END AS sd FROM dense WHERE known GROUP BY event),
 pm AS (SELECT author, event, avg(f) AS a FROM dense WHERE known GROUP BY ALL)"""
 _COUNTS = _cut(300) + """,
@@ -264,7 +262,7 @@ CENTROID = (UNION, f"SELECT doc_id, author, {DISTANCES['cosine']} AS score FROM
 METHODS = {
     "nearest_neighbor": _ranked((_pair_docs(300, _L1), _NEAREST), False),
     "knn": _ranked((
-        _pair_docs(300, _L1) + ", nr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dist, k) AS r FROM pr)",
+        _pair_docs(300, _L1) + ", nr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(dist, 10), k) AS r FROM pr)",
         "SELECT doc_id, author, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS score FROM nr WHERE r <= 5 GROUP BY doc_id, author",
     ), True),
     "centroid": _ranked(CENTROID, False),
