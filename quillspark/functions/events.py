@@ -15,22 +15,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.model import DRIVERS, TOKENIZERS, BadPipeline, LoadError, Param
 from .porter import stem
-from .text import chars, ngrams, run_of
+from .text import chars, ngrams, nothing, run_of
 from .word_lists import FUNCTION_WORDS, MOSTELLER_WALLACE
 
 Driver = Callable[[DataFrame, str], DataFrame]
 TOKENIZER = Param("tokenizer", "whitespace")
-EMPTY = F.array().cast("array<string>")
-NO_NUMBERS = F.array().cast("array<double>")
 
 
 def _over(make: Callable[[Column], Column], bind: Callable[[Column], Column]) -> Driver:
     """events = make(bound array)."""
     def run(df: DataFrame, text: str) -> DataFrame:
-        return df.withColumn("__a", bind(F.col(text))).withColumn("events", F.coalesce(make(F.col("__a")), EMPTY)).drop("__a")
+        return df.withColumn("__a", bind(F.col(text))).withColumn("events", F.coalesce(make(F.col("__a")), nothing())).drop("__a")
 
     return run
 
@@ -121,14 +120,14 @@ def mw_function_words(tokenizer: str) -> Driver:
 
 def _leave_out(n: int, k: int, bind: Callable[[Column], Column]) -> Driver:
     if k >= n:
-        return _over(lambda a: EMPTY, bind)
+        return _over(lambda a: nothing(), bind)
     masks = list(itertools.combinations(range(n), k))
 
     def make(a: Column) -> Column:
         def grams(i: Column) -> Column:
             return F.array(*[F.concat_ws(" ", *[F.lit("_") if j in m else F.element_at(a, i + j) for j in range(n)]) for m in masks])
 
-        return F.when(F.size(a) >= n, F.flatten(F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), grams))).otherwise(EMPTY)
+        return F.when(F.size(a) >= n, F.flatten(F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), grams))).otherwise(nothing())
 
     return _over(make, bind)
 
@@ -147,7 +146,7 @@ def leave_k_out_word_ngram(n: int, k: int, tokenizer: str) -> Driver:
 
 def _sorted_grams(n: int, sep: str, bind: Callable[[Column], Column]) -> Driver:
     return _over(
-        lambda a: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.array_sort(F.array(*run_of(a, i, n))), sep))).otherwise(EMPTY),
+        lambda a: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.array_sort(F.array(*run_of(a, i, n))), sep))).otherwise(nothing()),
         bind,
     )
 
@@ -169,7 +168,7 @@ def _skip_grams(n: int, k: int, sep: str, bind: Callable[[Column], Column]) -> D
 
     def make(a: Column) -> Column:
         gram = lambda i: F.concat_ws(sep, *[F.element_at(a, i + j * (k + 1)) for j in range(n)])
-        return F.when(F.size(a) > span, F.transform(F.sequence(F.lit(1), F.size(a) - span), gram)).otherwise(EMPTY)
+        return F.when(F.size(a) > span, F.transform(F.sequence(F.lit(1), F.size(a) - span), gram)).otherwise(nothing())
 
     return _over(make, bind)
 
@@ -192,7 +191,7 @@ def suffix(length: int, tokenizer: str) -> Driver:
     return _over(lambda a: F.transform(F.filter(a, lambda x: F.length(x) >= length), lambda x: F.right(x, F.lit(length))), _tok(tokenizer))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known: dict[str, str] = {}
     for s in batches:
@@ -216,7 +215,7 @@ def porter_stemmer(tokenizer: str) -> Driver:
     return _over(lambda a: _stems(F.transform(a, F.lower)), _tok(tokenizer))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _own_counts(ws: pd.Series) -> pd.Series:
     """How often each word stands in its document."""
     out = []
@@ -316,7 +315,7 @@ def lexicon_driver(tokenizer: str, table: dict[str, str]) -> Driver:
     """Words looked up in lower case; those not listed are dropped."""
     pairs = [F.lit(v) for kv in sorted(table.items()) for v in kv]
     if not pairs:
-        return _over(lambda a: EMPTY, _tok(tokenizer))
+        return _over(lambda a: nothing(), _tok(tokenizer))
     look = F.create_map(*pairs)
     return _over(lambda a: F.filter(F.transform(a, lambda x: look[F.lower(x)]), lambda v: v.isNotNull()), _tok(tokenizer))
 

@@ -7,13 +7,18 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.model import CANONICIZERS, TOKENIZERS, LoadError, Param
 
 #: What Python takes for white space.
 WS = r"(?U)[\s\x1c-\x1f]+"
 _WS_CLASS = r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
-_NONE = F.array().cast("array<string>")
+
+
+def nothing() -> Column:
+    """An array of no strings."""
+    return F.array().cast("array<string>")
 
 
 def words(t: Column) -> Column:
@@ -50,7 +55,7 @@ def strip_numbers():
     return lambda t: F.translate(t, "0123456789", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ascii(t: pd.Series) -> pd.Series:
     return t.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
 
@@ -130,4 +135,4 @@ def ngrams(a: Column, n: int, sep: str) -> Column:
     """Runs of n successive elements, joined. ``a`` must be a bound column."""
     return F.when(
         F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.concat_ws(sep, *run_of(a, i, n)))
-    ).otherwise(_NONE)
+    ).otherwise(nothing())
