@@ -233,9 +233,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = batch.column(1).to_pylist()
         for lo, hi in slices(texts):
-            s, n = model.scores(texts[lo:hi])
-            if not model.languages:
-                s, n = np.zeros((hi - lo, 1)), np.zeros(hi - lo, np.int64)
+            s, n = model.scores(texts[lo:hi]) if model.languages else (np.zeros((hi - lo, 1)), np.zeros(hi - lo, np.int64))
             none = n == 0
             each = s / np.maximum(n, 1)[:, None]
             best = s.argmax(axis=1)
