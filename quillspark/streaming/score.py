@@ -43,9 +43,12 @@ def score_stream(stream: DataFrame, known: DataFrame, config: Config, out: str,
 
 
 def score_files(spark: SparkSession, path: str, known: DataFrame, config: Config, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All that is in a Parquet folder, as a stream, scored; the results when it has been read."""
-    schema = spark.read.parquet(path).schema
-    stream = prepare(spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path))
+    """All that is in a Parquet folder (or one file), as a stream, scored; the results when it has been read."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 64)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():  # a stream reads folders
+        reader, path = reader.option("pathGlobFilter", place.getName()), place.getParent().toString()
+    stream = prepare(reader.parquet(path))
     out, checkpoint = folder(spark), folder(spark)
     score_stream(stream, known, config, out, checkpoint, once=True).awaitTermination()
     return spark.read.parquet(out).select("doc_id", "rank", "author", "score")
