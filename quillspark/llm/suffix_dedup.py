@@ -416,8 +416,12 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars
 
     What stands between cut words goes with them; other text stays as it is. A document of which no word is left goes.
     """
-    spans = repeats(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_list("start_word").alias("__a"), F.collect_list("n_words").alias("__n")
+    own = "__cut"  # a prefix that no column of docs has
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    at, starts, sizes, text = (f"{own}{k}" for k in "iant")
+    spans = repeats(docs, id_col, text_col).groupBy(F.col("doc_id").alias(at)).agg(
+        F.collect_list("start_word").alias(starts), F.collect_list("n_words").alias(sizes)
     )
 
     @F.pandas_udf("string")
@@ -442,15 +446,16 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars
             out.append(None if inside.all() else "".join(pieces))
         return __import__("pandas").Series(out, dtype=object)
 
-    joined = docs.join(spans, docs[id_col].cast("long") == spans["__id"], "left")
-    new = F.when(F.col("__id").isNull(), docs[text_col]).otherwise(without(docs[text_col].cast("string"), "__a", "__n"))
-    joined = joined.withColumn("__text", new).where("__id IS NULL OR __text IS NOT NULL")
+    joined = docs.join(spans, docs[id_col].cast("long") == spans[at], "left")
+    whole = F.col(at).isNull()
+    new = F.when(whole, docs[text_col]).otherwise(without(docs[text_col].cast("string"), starts, sizes))
+    joined = joined.withColumn(text, new).where(whole | F.col(text).isNotNull())
     cols = []
     for c in docs.columns:
         if c == text_col:
-            cols.append(F.col("__text").alias(c))
+            cols.append(F.col(text).alias(c))
         elif c == n_chars_col:
-            cols.append(F.when(F.col("__id").isNull(), docs[c]).otherwise(F.length("__text")).cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.when(whole, docs[c]).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c))
         else:
             cols.append(docs[c])
     return joined.select(*cols)
