@@ -27,11 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Shuffle files of an execution go when it ends, not when the driver happens to collect its garbage; a lost one would be made again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: short lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables once all that was made of them is stored itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,6 +147,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         last = tuple(mark)
         if not mark[0]:
             break
-        cur = stored(star(cur))
+        new = stored(star(cur))
+        release(cur)
+        cur = new
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

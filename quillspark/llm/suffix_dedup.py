@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, map_partition, numpy_column, stored
+from .common import id_text, map_arrow, map_partition, numpy_column, release, stored
 from .textcore import Words, mix, slices
 
 LEAST, K, WINDOW = 50, 3, 24
@@ -262,26 +262,32 @@ def _ranked(table: pa.Table) -> Iterator[dict]:
 
 
 def _sampled_ranks(strings: DataFrame) -> DataFrame:
-    """(seg, i, rank) of the sampled suffixes of the strings, by naming their triples and, where names tie too early, recursion."""
+    """(seg, i, rank) of the sampled suffixes of the strings, by naming their triples and, where names tie too early, recursion; a stored table."""
     triples = stored(map_partition(strings.select("seg", "i", "sym", "cover").repartition("seg"), _triples, "seg long, i int, s0 long, s1 long, s2 long, cover int, pseg long, pi int"))
     names = stored(map_partition(triples.repartitionByRange("s0", "s1", "s2"), _names, STRING + ", open boolean"))
+    release(triples)
     if names.where("open").limit(1).count() == 0:
-        return names.select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), F.col("sym").alias("rank"))
-    level = names.select("seg", "i", "sym", "cover", "pseg", "pi")
-    suffixes = stored(_with_ranks(level))
+        out = names.select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), F.col("sym").alias("rank"))
+        out._stored_at = names._stored_at
+        return out
+    rows, ranks = _with_ranks(names.select("seg", "i", "sym", "cover", "pseg", "pi"))
+    suffixes = stored(rows)
+    release(names, ranks)
     ranked = map_partition(suffixes.repartitionByRange("s0"), _ranked, "pseg long, pi int, rank long")
-    return stored(ranked.select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), "rank"))
+    out = stored(ranked.select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), "rank"))
+    release(suffixes)
+    return out
 
 
-def _with_ranks(strings: DataFrame) -> DataFrame:
-    """The suffixes of the strings (SUFFIX), ready to be merged by their first symbols."""
+def _with_ranks(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The suffixes of the strings (SUFFIX), ready to be merged by their first symbols; and the stored ranks that they read."""
     carried = ("cover", *PLACE) if "fam" in strings.columns else ()
     ranks = _sampled_ranks(strings)
     rows = strings.select("seg", "i", "sym", "pseg", "pi", *carried, F.lit(False).alias("sampled")).unionByName(
         ranks.select("seg", "i", F.col("rank").alias("sym"), F.lit(True).alias("sampled")), allowMissingColumns=True
     )
     extra = ", at int, lo int, hi int, fam long, n0 int, n1 int, n2 int" if carried else ""
-    return map_partition(rows.repartition("seg"), lambda t: _suffixes(t, carried), SUFFIX + extra)
+    return map_partition(rows.repartition("seg"), lambda t: _suffixes(t, carried), SUFFIX + extra), ranks
 
 
 FAMILY = "doc_id long, at int, lo int, hi int, fam long, head_doc long, head_at int, edge boolean"
@@ -394,8 +400,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = id_text(docs, id_col, text_col)
     phrases = stored(map_partition(map_arrow(docs, _phrases, PHRASES).repartition("sym"), _repeated, PHRASES))
     strings = stored(map_partition(phrases.repartition("doc_id"), _runs, STRING + ", at int, lo int, hi int, fam long"))
-    suffixes = _with_ranks(strings)
+    release(phrases)
+    suffixes, ranks = _with_ranks(strings)
     families = stored(map_partition(suffixes.repartition("s0"), _families, FAMILY))
+    release(strings, ranks)
     is_head = (F.col("doc_id") == F.col("head_doc")) & (F.col("at") == F.col("head_at"))
     heads = families.where(F.col("edge") & is_head).groupBy("doc_id").agg(*[F.collect_list(k).alias(k) for k in ("fam", "at", "lo", "hi")])
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(heads, "doc_id").select("doc_id", "text", "fam", "at", "lo", "hi")
@@ -404,6 +412,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = firsts.groupBy("fam").agg(F.collect_list("l").alias("ls"), F.collect_list("first_doc").alias("firsts"))
     known = families.withColumn("is_head", is_head).join(firsts, "fam", "left")
     known = stored(known.where("ls IS NOT NULL OR NOT is_head").select("doc_id", "at", "lo", "hi", "head_doc", "is_head", "ls", "firsts"))
+    release(families)
     whole = known.where("ls IS NULL").select("doc_id", F.col("head_doc").alias("first_doc_id"), "lo", "hi")
     part = map_arrow(known.where("ls IS NOT NULL"), _stretches, "doc_id long, first_doc_id long, lo int, hi int")
     return map_partition(
