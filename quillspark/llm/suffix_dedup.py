@@ -9,9 +9,10 @@ once end a string, since no suffix needs comparing beyond them.
 1. Difference cover modulo 3: the suffixes at positions 1 and 2 mod 3 are sorted by their first three symbols (range
    partitions) and named; while a name that is not unique covers fewer than ``least`` words, the names are sorted by recursion.
 2. The suffixes at 0 mod 3 are sorted by their first symbol and the rank behind it, and all three are merged.
-3. Adjacent suffixes are compared. Those whose longest common prefix cannot hold a repeat are dropped. Among the others, places
+3. Adjacent suffixes are compared. Those that share no phrase with a neighbour are dropped: any 50-word repeat holds its first
+   phrase whole and the 27 words from there on, while the phrases behind may differ in where they end. Among the others, places
    whose whole surroundings are equal form one family, of which only the first is looked at further;
-   where families differ but adjacent prefixes agree, at the edges of repeats, 50-word windows are compared.
+   where families differ but those 27 words agree, at the edges of repeats, 50-word windows are compared.
 
 Every task holds one shuffle partition at most; ranks and names never pass through the driver.
 
@@ -37,6 +38,7 @@ from .common import id_text, map_arrow, map_partition, numpy_column, release, st
 from .textcore import Words, mix, slices
 
 LEAST, K, WINDOW = 50, 3, 24
+NEAR = LEAST - WINDOW + 1  # a window's first minimum is among its first 24 shingles, so it covers as many words from there on
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0xA0761D6478BD642F | 1
 _END = np.int64(-(2**63))  # stands for the end of a string, below every symbol and rank
@@ -95,9 +97,10 @@ def minima(w: Words) -> np.ndarray:
 
 
 def _phrases(batch: pa.RecordBatch) -> Iterator[dict]:
-    """One row for each phrase: (doc_id, idx, sym, n, at, lo, hi, fam).
+    """One row for each phrase: (doc_id, idx, sym, n, at, lo, hi, fam, near).
 
-    ``at``: its first word; ``lo``..``hi``: the 50-word windows (by first word) whose first minimum it is (none: lo > hi); ``fam``: hash of all they cover.
+    ``at``: its first word; ``lo``..``hi``: the 50-word windows (by first word) whose first minimum it is (none: lo > hi); ``fam``: hash of all they cover;
+    ``near``: hash of the words from ``at`` on that all of them cover.
     """
     ids, texts = batch.column(0), batch.column(1).to_pylist()
     valid, doc_ids = np.array(ids.is_valid()), ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -121,14 +124,15 @@ def _phrases(batch: pa.RecordBatch) -> Iterator[dict]:
         end, at, win_lo, win_hi, d = at[phrase + 1], at[phrase], win_lo[phrase], win_hi[phrase], d[phrase]
         covered = np.maximum(win_hi + LEAST, win_lo)
         fam = mix(span(win_lo, covered) ^ mix(((at - win_lo) * 64 + (at - win_hi)).astype(np.uint64)))
+        near = span(at, np.minimum(at + NEAR, w.offset[1:][d]))
         base = w.offset[d]
         yield {
             "doc_id": doc_ids[lo:hi][d], "idx": (np.arange(len(at)) - np.searchsorted(d, d)).astype(np.int32), "sym": span(at, end),
-            "n": (end - at).astype(np.int32), "at": (at - base).astype(np.int32), "lo": (win_lo - base).astype(np.int32), "hi": (win_hi - base).astype(np.int32), "fam": fam,
+            "n": (end - at).astype(np.int32), "at": (at - base).astype(np.int32), "lo": (win_lo - base).astype(np.int32), "hi": (win_hi - base).astype(np.int32), "fam": fam, "near": near,
         }
 
 
-PHRASES = "doc_id long, idx int, sym long, n int, at int, lo int, hi int, fam long"
+PHRASES = "doc_id long, idx int, sym long, n int, at int, lo int, hi int, fam long, near long"
 
 
 def _repeated(table: pa.Table) -> Iterator[dict]:
@@ -147,7 +151,7 @@ def _repeated(table: pa.Table) -> Iterator[dict]:
 
 # The string table of a level has (seg, i, sym, cover): symbol i of string seg, and how many words it covers.
 # pseg, pi name the suffix one level up that a row stands for.
-PLACE = ("at", "lo", "hi", "fam")
+PLACE = ("at", "lo", "hi", "fam", "near")
 STRING = "seg long, i int, sym long, cover int, pseg long, pi int"
 
 
@@ -248,7 +252,7 @@ def _suffixes(table: pa.Table, carried: tuple[str, ...] = ()) -> Iterator[dict]:
         "seg": c["seg"], "i": c["i"], "pseg": c["pseg"], "pi": c["pi"], "cls": (c["i"] % 3).astype(np.int32), "s0": c["sym"],
         "s1": _ahead(c["sym"], end, 1, _END), "s2": _ahead(c["sym"], end, 2, _END),
         "r0": rank, "r1": _ahead(rank, end, 1, _END), "r2": _ahead(rank, end, 2, _END),
-    } | {k: c[k] for k in carried if k != "cover"} | ({f"n{k}": _ahead(c["cover"], end, k, LEAST) for k in range(3)} if carried else {})
+    } | {k: c[k] for k in carried}
 
 
 def _ranked(table: pa.Table) -> Iterator[dict]:
@@ -281,12 +285,12 @@ def _sampled_ranks(strings: DataFrame) -> DataFrame:
 
 def _with_ranks(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The suffixes of the strings (SUFFIX), ready to be merged by their first symbols; and the stored ranks that they read."""
-    carried = ("cover", *PLACE) if "fam" in strings.columns else ()
+    carried = PLACE if "fam" in strings.columns else ()
     ranks = _sampled_ranks(strings)
     rows = strings.select("seg", "i", "sym", "pseg", "pi", *carried, F.lit(False).alias("sampled")).unionByName(
         ranks.select("seg", "i", F.col("rank").alias("sym"), F.lit(True).alias("sampled")), allowMissingColumns=True
     )
-    extra = ", at int, lo int, hi int, fam long, n0 int, n1 int, n2 int" if carried else ""
+    extra = ", at int, lo int, hi int, fam long, near long" if carried else ""
     return map_partition(rows.repartition("seg"), lambda t: _suffixes(t, carried), SUFFIX + extra), ranks
 
 
@@ -299,24 +303,19 @@ def _families(table: pa.Table) -> Iterator[dict]:
     order, _ = _merged(c)
     order = order[np.argsort(c["s0"][order], kind="stable")]  # strings of one first symbol are whole in this partition
     c = {k: v[order] for k, v in c.items()}
-    s0, s1, s2 = c["s0"], c["s1"], c["s2"]
-    one = s0[1:] == s0[:-1]
-    two = one & (s1[1:] == s1[:-1]) & (s1[1:] != _END)
-    three = two & (s2[1:] == s2[:-1]) & (s2[1:] != _END)
-    common = one.astype(np.int32) + two + three
-    most = np.maximum(np.append(common, 0), np.insert(common, 0, 0))  # phrases shared with either neighbour
-    reach = c["n0"] + np.where(most >= 1, c["n1"], 0) + np.where(most >= 2, c["n2"], 0)
-    may = (most >= 1) & (c["lo"] <= c["hi"]) & ((most >= 3) | (reach >= LEAST - WINDOW + 1))
+    one = c["s0"][1:] == c["s0"][:-1]
+    shared = np.append(one, False) | np.insert(one, 0, False)  # the first phrase is that of either neighbour
+    may = shared & (c["lo"] <= c["hi"])
     c = {k: v[may] for k, v in c.items()}
     if not len(c["fam"]):
         return
-    order = np.lexsort((c["at"], c["pseg"], c["fam"], c["s0"]))
+    order = np.lexsort((c["at"], c["pseg"], c["fam"], c["near"]))
     c = {k: v[order] for k, v in c.items()}
     new = np.ones(len(order), bool)
-    new[1:] = (c["fam"][1:] != c["fam"][:-1]) | (c["s0"][1:] != c["s0"][:-1])
+    new[1:] = (c["fam"][1:] != c["fam"][:-1]) | (c["near"][1:] != c["near"][:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     size = np.bincount(head, minlength=len(new))[head]
-    _, group = np.unique(c["s0"], return_inverse=True)
+    _, group = np.unique(c["near"], return_inverse=True)
     edge = np.bincount(group, new)[group] > 1
     keep = (size > 1) | edge
     yield {
@@ -399,7 +398,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, first_doc_id, start_word, n_words): each stretch of words that repeats an earlier one, by the document where it first stands."""
     docs = id_text(docs, id_col, text_col)
     phrases = stored(map_partition(map_arrow(docs, _phrases, PHRASES).repartition("sym"), _repeated, PHRASES))
-    strings = stored(map_partition(phrases.repartition("doc_id"), _runs, STRING + ", at int, lo int, hi int, fam long"))
+    strings = stored(map_partition(phrases.repartition("doc_id"), _runs, STRING + ", at int, lo int, hi int, fam long, near long"))
     release(phrases)
     suffixes, ranks = _with_ranks(strings)
     families = stored(map_partition(suffixes.repartition("s0"), _families, FAMILY))

@@ -311,6 +311,19 @@ def test_suffix_repeats(spark):
     assert got == want and len(want) > 20
 
 
+def test_suffix_repeats_whose_short_phrases_recur(spark):
+    """Behind the last phrase that two copies share, a short one that also stands elsewhere must not hide the words they still have in common."""
+    rng = random.Random(16)
+    some = lambda n: [rng.choice(VOCAB[:40]) for _ in range(n)]
+    rows = []
+    for k in range(400):
+        passage = some(rng.randrange(50, 71))
+        rows += [(2 * k + c, " ".join(some(rng.randrange(40)) + passage + some(rng.randrange(40)))) for c in (0, 1)]
+    want = brute_spans(rows)
+    got = {tuple(r) for r in suffix_dedup.repeats(table(spark, rows)).select("doc_id", "first_doc_id", "start_word", "n_words").collect()}
+    assert len(want) >= 400 and got == want
+
+
 def test_suffix_cut(spark):
     rng = random.Random(14)
     p, a, b = prose(rng, 80)[:-1], prose(rng, 30), prose(rng, 30)
