@@ -20,7 +20,7 @@ The result is exact (up to collisions of 64-bit hashes): a word belongs to a spa
 earlier. Words are lower-cased runs of letters and digits.
 
 Cases: null ids, null texts and texts of fewer than ``least`` words have no repeats. Rows that repeat an id and text are one
-document; rows with one id and differing texts share the spans of that id. A passage repeated within one document is a repeat. Empty
+document; of rows with one id and differing texts each is read for itself, and they share the spans of that id. A passage repeated within one document is a repeat. Empty
 tables give empty results. Extra columns are ignored by ``repeats`` and kept by ``cut``.
 """
 
@@ -96,10 +96,14 @@ def minima(w: Words) -> np.ndarray:
     return (m[:n] & low).astype(np.int64)
 
 
+def _text_hash(w: Words, span: Spans) -> np.ndarray:
+    return span(w.offset[:-1], w.offset[1:])
+
+
 def _phrases(batch: pa.RecordBatch) -> Iterator[dict]:
-    """One row for each phrase: (doc_id, idx, sym, n, at, lo, hi, fam, near).
+    """One row for each phrase: (doc_id, txt, idx, sym, n, at, lo, hi, fam, near).
 
-    ``at``: its first word; ``lo``..``hi``: the 50-word windows (by first word) whose first minimum it is (none: lo > hi); ``fam``: hash of all they cover;
+    ``txt``: hash of all words of its text, as an id may have several; ``at``: its first word; ``lo``..``hi``: the 50-word windows (by first word) whose first minimum it is (none: lo > hi); ``fam``: hash of all they cover;
     ``near``: hash of the words from ``at`` on that all of them cover.
     """
     ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -127,21 +131,20 @@ def _phrases(batch: pa.RecordBatch) -> Iterator[dict]:
         near = span(at, np.minimum(at + NEAR, w.offset[1:][d]))
         base = w.offset[d]
         yield {
-            "doc_id": doc_ids[lo:hi][d], "idx": (np.arange(len(at)) - np.searchsorted(d, d)).astype(np.int32), "sym": span(at, end),
+            "doc_id": doc_ids[lo:hi][d], "txt": _text_hash(w, span)[d], "idx": (np.arange(len(at)) - np.searchsorted(d, d)).astype(np.int32), "sym": span(at, end),
             "n": (end - at).astype(np.int32), "at": (at - base).astype(np.int32), "lo": (win_lo - base).astype(np.int32), "hi": (win_hi - base).astype(np.int32), "fam": fam, "near": near,
         }
 
 
-PHRASES = "doc_id long, idx int, sym long, n int, at int, lo int, hi int, fam long, near long"
+PHRASES = "doc_id long, txt long, idx int, sym long, n int, at int, lo int, hi int, fam long, near long"
 
 
 def _repeated(table: pa.Table) -> Iterator[dict]:
     cols = {c: numpy_column(table, c) for c in table.column_names}
-    order = np.lexsort((cols["idx"], cols["doc_id"], cols["sym"]))
-    sym, doc, idx = cols["sym"][order], cols["doc_id"][order], cols["idx"][order]
+    order = np.lexsort((cols["idx"], cols["txt"], cols["doc_id"], cols["sym"]))
+    sym, doc, txt, idx = (cols[k][order] for k in ("sym", "doc_id", "txt", "idx"))
     first = np.ones(len(order), bool)  # of rows that repeat an id and text one stays
-    fam = cols["fam"][order]
-    first[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1]) | (idx[1:] != idx[:-1]) | (fam[1:] != fam[:-1])
+    first[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1]) | (txt[1:] != txt[:-1]) | (idx[1:] != idx[:-1])
     order, sym = order[first], sym[first]
     _, inverse, count = np.unique(sym, return_inverse=True, return_counts=True)
     keep = order[count[inverse] > 1]
@@ -151,19 +154,19 @@ def _repeated(table: pa.Table) -> Iterator[dict]:
 
 # The string table of a level has (seg, i, sym, cover): symbol i of string seg, and how many words it covers.
 # pseg, pi name the suffix one level up that a row stands for.
-PLACE = ("at", "lo", "hi", "fam", "near")
+PLACE = ("txt", "at", "lo", "hi", "fam", "near")
 STRING = "seg long, i int, sym long, cover int, pseg long, pi int"
 
 
 def _runs(table: pa.Table) -> Iterator[dict]:
-    """The strings: runs of phrases that follow each other in a document and occur more than once."""
-    doc, idx = numpy_column(table, "doc_id"), numpy_column(table, "idx")
-    order = np.lexsort((idx, doc))
-    doc, idx = doc[order], idx[order]
+    """The strings: runs of phrases that follow each other in a text and occur more than once."""
+    doc, txt, idx = (numpy_column(table, k) for k in ("doc_id", "txt", "idx"))
+    order = np.lexsort((idx, txt, doc))
+    doc, txt, idx = doc[order], txt[order], idx[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (idx[1:] != idx[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (txt[1:] != txt[:-1]) | (idx[1:] != idx[:-1] + 1)
     run = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    seg = mix(mix(doc.view(np.uint64)) + idx[run].astype(np.uint64))
+    seg = mix(mix(mix(doc.view(np.uint64)) + txt.view(np.uint64)) + idx[run].astype(np.uint64))
     yield {
         "seg": seg, "i": (np.arange(len(doc)) - run).astype(np.int32), "sym": numpy_column(table, "sym")[order],
         "cover": numpy_column(table, "n")[order], "pseg": doc, "pi": idx,
@@ -290,11 +293,11 @@ def _with_ranks(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = strings.select("seg", "i", "sym", "pseg", "pi", *carried, F.lit(False).alias("sampled")).unionByName(
         ranks.select("seg", "i", F.col("rank").alias("sym"), F.lit(True).alias("sampled")), allowMissingColumns=True
     )
-    extra = ", at int, lo int, hi int, fam long, near long" if carried else ""
+    extra = ", txt long, at int, lo int, hi int, fam long, near long" if carried else ""
     return map_partition(rows.repartition("seg"), lambda t: _suffixes(t, carried), SUFFIX + extra), ranks
 
 
-FAMILY = "doc_id long, at int, lo int, hi int, fam long, head_doc long, head_at int, edge boolean"
+FAMILY = "doc_id long, txt long, at int, lo int, hi int, fam long, head_doc long, head_txt long, head_at int, edge boolean"
 
 
 def _families(table: pa.Table) -> Iterator[dict]:
@@ -309,7 +312,7 @@ def _families(table: pa.Table) -> Iterator[dict]:
     c = {k: v[may] for k, v in c.items()}
     if not len(c["fam"]):
         return
-    order = np.lexsort((c["at"], c["pseg"], c["fam"], c["near"]))
+    order = np.lexsort((c["txt"], c["at"], c["pseg"], c["fam"], c["near"]))
     c = {k: v[order] for k, v in c.items()}
     new = np.ones(len(order), bool)
     new[1:] = (c["fam"][1:] != c["fam"][:-1]) | (c["near"][1:] != c["near"][:-1])
@@ -319,40 +322,40 @@ def _families(table: pa.Table) -> Iterator[dict]:
     edge = np.bincount(group, new)[group] > 1
     keep = (size > 1) | edge
     yield {
-        "doc_id": c["pseg"][keep], "at": c["at"][keep], "lo": c["lo"][keep], "hi": c["hi"][keep], "fam": c["fam"][keep],
-        "head_doc": c["pseg"][head][keep], "head_at": c["at"][head][keep], "edge": edge[keep],
+        "doc_id": c["pseg"][keep], "txt": c["txt"][keep], "at": c["at"][keep], "lo": c["lo"][keep], "hi": c["hi"][keep], "fam": c["fam"][keep],
+        "head_doc": c["pseg"][head][keep], "head_txt": c["txt"][head][keep], "head_at": c["at"][head][keep], "edge": edge[keep],
     }
 
 
 def _windows(batch: pa.RecordBatch) -> Iterator[dict]:
     """The 50-word windows of the families at the edges of repeats, from the text of their first place."""
     ids, texts = numpy_column(batch, "doc_id"), batch.column("text").to_pylist()
-    lists = [batch.column(k).to_pylist() for k in ("fam", "at", "lo", "hi")]
+    lists = [batch.column(k).to_pylist() for k in ("txt", "fam", "at", "lo", "hi")]
     for a, b in slices(texts):
         w = Words(texts[a:b])
         span = Spans(w)
+        own = _text_hash(w, span).view(np.int64)
         for d in range(a, b):
-            fam, at, lo, hi = (np.array(x[d], np.int64) for x in lists)
-            base, n = w.offset[d - a], w.counts[d - a]
-            ok = hi + LEAST <= n  # an id may have several texts
+            txt, fam, at, lo, hi = (np.array(x[d], np.int64) for x in lists)
+            base, ok = w.offset[d - a], txt == own[d - a]  # an id may have several texts
             fam, at, lo, hi = fam[ok], at[ok], lo[ok], hi[ok]
             size = hi - lo + 1
             pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
             if len(pos):
                 yield {
                     "hash": span(base + pos, base + pos + LEAST), "fam": np.repeat(fam, size), "l": (np.repeat(at, size) - pos).astype(np.int32),
-                    "doc_id": np.full(len(pos), ids[d]), "pos": pos.astype(np.int32),
+                    "doc_id": np.full(len(pos), ids[d]), "txt": np.full(len(pos), own[d - a]), "pos": pos.astype(np.int32),
                 }
 
 
 def _first_windows(table: pa.Table) -> Iterator[dict]:
     c = {k: numpy_column(table, k) for k in table.column_names}
-    order = np.lexsort((c["pos"], c["doc_id"], c["hash"]))
+    order = np.lexsort((c["txt"], c["pos"], c["doc_id"], c["hash"]))
     c = {k: v[order] for k, v in c.items()}
     new = np.ones(len(order), bool)
     new[1:] = c["hash"][1:] != c["hash"][:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = (c["doc_id"] != c["doc_id"][head]) | (c["pos"] != c["pos"][head])
+    later = (c["doc_id"] != c["doc_id"][head]) | (c["pos"] != c["pos"][head]) | (c["txt"] != c["txt"][head])
     if later.any():
         yield {"fam": c["fam"][later], "l": c["l"][later], "first_doc": c["doc_id"][head][later]}
 
@@ -398,15 +401,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, first_doc_id, start_word, n_words): each stretch of words that repeats an earlier one, by the document where it first stands."""
     docs = id_text(docs, id_col, text_col)
     phrases = stored(map_partition(map_arrow(docs, _phrases, PHRASES).repartition("sym"), _repeated, PHRASES))
-    strings = stored(map_partition(phrases.repartition("doc_id"), _runs, STRING + ", at int, lo int, hi int, fam long, near long"))
+    strings = stored(map_partition(phrases.repartition("doc_id", "txt"), _runs, STRING + ", txt long, at int, lo int, hi int, fam long, near long"))
     release(phrases)
     suffixes, ranks = _with_ranks(strings)
     families = stored(map_partition(suffixes.repartition("s0"), _families, FAMILY))
     release(strings, ranks)
-    is_head = (F.col("doc_id") == F.col("head_doc")) & (F.col("at") == F.col("head_at"))
-    heads = families.where(F.col("edge") & is_head).groupBy("doc_id").agg(*[F.collect_list(k).alias(k) for k in ("fam", "at", "lo", "hi")])
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(heads, "doc_id").select("doc_id", "text", "fam", "at", "lo", "hi")
-    windows = map_arrow(texts, _windows, "hash long, fam long, l int, doc_id long, pos int")
+    is_head = (F.col("doc_id") == F.col("head_doc")) & (F.col("txt") == F.col("head_txt")) & (F.col("at") == F.col("head_at"))
+    heads = families.where(F.col("edge") & is_head).groupBy("doc_id").agg(*[F.collect_list(k).alias(k) for k in ("txt", "fam", "at", "lo", "hi")])
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(heads, "doc_id").select("doc_id", "text", "txt", "fam", "at", "lo", "hi")
+    windows = map_arrow(texts, _windows, "hash long, fam long, l int, doc_id long, txt long, pos int")
     firsts = map_partition(windows.repartition("hash"), _first_windows, "fam long, l int, first_doc long")
     firsts = firsts.groupBy("fam").agg(F.collect_list("l").alias("ls"), F.collect_list("first_doc").alias("firsts"))
     known = families.withColumn("is_head", is_head).join(firsts, "fam", "left")

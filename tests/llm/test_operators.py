@@ -324,6 +324,31 @@ def test_suffix_repeats_whose_short_phrases_recur(spark):
     assert len(want) >= 400 and got == want
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_suffix_repeats_of_ids_with_several_texts(spark, copies):
+    """Against the SQL, which counts each differing text of an id: passages across ids, within one text and between two texts of one id."""
+    rng = random.Random(17)
+    some = lambda n: [rng.choice(VOCAB) for _ in range(n)]
+    shared = [some(n) for n in (50, 56, 70, 120, 300)]
+    rows = []
+    for d in range(30):
+        for _ in range(rng.randrange(1, 4)):
+            ws = some(rng.randrange(20, 200))
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(ws) + 1)
+                ws[at:at] = rng.choice(shared)
+            rows += [(d, " ".join(ws))] * copies
+    a, b, same = some(80), some(80), some(60)
+    rows += [(50, " ".join(some(10) + a + some(10))), (50, " ".join(some(10) + b + some(10))), (51, " ".join(a)), (52, " ".join(b))]
+    rows += [(60, " ".join(same + some(30))), (60, " ".join(same + some(30)))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = set(con.execute(suffix_dedup.ORACLE_SQL).fetchall())
+    got = {tuple(r) for r in suffix_dedup.repeats(table(spark, rows)).select("doc_id", "first_doc_id", "start_word", "n_words").collect()}
+    assert got == want and {50, 51, 52, 60} & {r[0] for r in want} == {51, 52, 60}
+
+
 def test_suffix_cut(spark):
     rng = random.Random(14)
     p, a, b = prose(rng, 80)[:-1], prose(rng, 30), prose(rng, 30)
