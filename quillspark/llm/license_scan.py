@@ -37,6 +37,7 @@ TEMPLATES: list[tuple[int, str, str]] = [
     (15, "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     (16, "CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     (17, "proprietary", "All rights reserved. No part of this publication may be reproduced or transmitted in any form or by any means without prior written permission"),
+    (18, "proprietary", "All rights reserved."),
 ]
 
 

@@ -215,6 +215,13 @@ def test_licenses(spark):
     assert got == set(want)
 
 
+def test_license_notice_of_its_own(spark):
+    rng = random.Random(19)
+    docs = [(1, prose(rng, 300) + "\nAll rights reserved.\n" + prose(rng, 300)), (2, "ALL RIGHTS RESERVED"), (3, prose(rng, 300) + " all rights "), (4, prose(rng, 9000) + "\nAll rights reserved.")]
+    got = {(r["doc_id"], r["license"], r["containment"]) for r in license_scan.licenses(table(spark, docs)).collect()}
+    assert got == {(d, "proprietary", 1.0) for d in (1, 2, 4)}
+
+
 # --- 5: BPE ---
 
 
