@@ -39,6 +39,7 @@ from .textcore import Words, mix, slices
 
 LEAST, K, WINDOW = 50, 3, 24
 NEAR = LEAST - WINDOW + 1  # a window's first minimum is among its first 24 shingles, so it covers as many words from there on
+PIECE = (1 << 24) - WINDOW
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0xA0761D6478BD642F | 1
 _END = np.int64(-(2**63))  # stands for the end of a string, below every symbol and rank
@@ -83,17 +84,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def minima(w: Words) -> np.ndarray:
     """For each word of the slice, the position of the least of the 24 shingles from there on (the leftmost of equals)."""
     n = len(w)
-    if n >= 1 << 24:
-        raise ValueError("a text of over 16 million words")
     h = np.full(n + WINDOW, np.iinfo(np.uint64).max)
     if n > 2:
         h[: n - 2] = mix((w.hash[: n - 2] * _C + w.hash[1 : n - 1]) * _C + w.hash[2:])
     low = np.uint64((1 << 24) - 1)
-    m = (h & ~low) | np.arange(n + WINDOW, dtype=np.uint64)
-    for step in (1, 2, 4, 8):
-        m = np.minimum(m[:-step], m[step:])
-    m = np.minimum(m[:-8], m[8:])
-    return (m[:n] & low).astype(np.int64)
+    out = np.empty(n, np.int64)
+    for a in range(0, n, PIECE):  # positions within a piece fit the low 24 bits
+        piece = h[a : a + PIECE + WINDOW]
+        m = (piece & ~low) | np.arange(len(piece), dtype=np.uint64)
+        for step in (1, 2, 4, 8):
+            m = np.minimum(m[:-step], m[step:])
+        m = np.minimum(m[:-8], m[8:])
+        out[a : a + PIECE] = (m[: len(piece) - WINDOW] & low).astype(np.int64) + a
+    return out
 
 
 def _text_hash(w: Words, span: Spans) -> np.ndarray:

@@ -356,6 +356,21 @@ def test_suffix_repeats_of_ids_with_several_texts(spark, copies):
     assert got == want and {50, 51, 52, 60} & {r[0] for r in want} == {51, 52, 60}
 
 
+def test_minima_of_a_text_of_over_16_million_words():
+    class Long:
+        def __init__(self, h):
+            self.hash = h
+
+        def __len__(self):
+            return len(self.hash)
+
+    h = np.random.default_rng(18).integers(0, 2**64, (1 << 24) + 500, dtype=np.uint64)
+    h[(1 << 24) - 200 : (1 << 24) + 200] = h[0]  # equal shingles across the end of the first piece
+    got, a = suffix_dedup.minima(Long(h)), (1 << 24) - 1000
+    assert (got[a:] == suffix_dedup.minima(Long(h[a:])) + a).all()
+    assert (got[:1000] == suffix_dedup.minima(Long(h[:1100]))[:1000]).all()
+
+
 def test_suffix_cut(spark):
     rng = random.Random(14)
     p, a, b = prose(rng, 80)[:-1], prose(rng, 30), prose(rng, 30)
