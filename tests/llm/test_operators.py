@@ -236,12 +236,47 @@ def test_bpe_is_exact_and_round_trips(spark):
     want = sorted([(i, None if t is None else enc.encode_ordinary(t)) for i, t in rows], key=key)
     assert sorted([(r["doc_id"], r["tokens"]) for r in got.collect()], key=key) == want
     assert {r["round_trip"] for r in got.collect()} == {True, None}
-    assert sum(r["n_reused"] for r in got.collect()) > 0
+    parted = {(r["doc_id"], r["n_chunks"], r["n_tokens"]) for r in bpe.encoded(df.repartition(3)).collect()}
+    assert parted == {(r["doc_id"], r["n_chunks"], r["n_tokens"]) for r in got.collect()}
     back = {r["doc_id"]: r["text"] for r in bpe.decoded(got.where("doc_id >= 20")).collect()}
     assert back == {i: t for i, t in rows if i is not None and i >= 20}
     assert bpe.encoded(df.limit(0)).collect() == []
 
 
+def test_bpe_repairs_joins_in_any_script(monkeypatch):
+    """Token for token, with short chunks so that joins fall everywhere; and a text met again is not encoded again."""
+    rng = random.Random(20)
+    bits = ["'s", "'re", " ", "  ", "\n", "a", "é", "中", "文", "，", "。", "1", "23", "!", "''", "\U0001f600", "\u200b", "\u0301", "ก", "xxxxx", "don't", "\t", "\u00a0", "\u3000", "\u2167", "²", "\U0001e030"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(3000))) for _ in range(60)]
+    texts += ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) if rng.random() < 0.95 else "，" for _ in range(8000)), "中" * 3000, "x" * 3000, "", None]
+    enc = bpe.encoder(bpe.VOCABULARY)
+    for cut_bits in (4, 9):
+        monkeypatch.setattr(bpe, "CUT_BITS", cut_bits)
+        for t, (got, _) in zip(texts, bpe.Reuse(bpe.VOCABULARY).encode_all(texts), strict=True):
+            assert got.tolist() == enc.encode_ordinary(t or "")
+    reuse = bpe.Reuse(bpe.VOCABULARY)
+    ideographs = texts[60]
+    reuse.encode_all([ideographs])
+    before = reuse.encoded
+    reuse.encode_all([ideographs])
+    assert reuse.encoded == before
+    reuse.encode_all(["，" + ideographs[:4000] + "，新，" + ideographs[4000:]])
+    assert reuse.encoded - before < len(ideographs) / 4
+
+
+def test_bpe_joins_grow_until_they_agree():
+    """A chunk whose first tokens differ from those in context is encoded further."""
+    reuse = bpe.Reuse(bpe.VOCABULARY)
+    text = "one two three four five six seven"
+    places = np.array([i for i, c in enumerate(text) if c == " "])
+    left, right = (bpe.Chunk(t, reuse.tokens(t), places[: k], reuse.sizes) for t, k in ((text, 6), (text, 6)))
+    keep, got, place = reuse.repaired(left, 0, text, right, text)
+    assert place == 1 and keep == left.token[-2]
+    right.tokens = np.concatenate([[0], right.tokens[1:2] + 1, right.tokens[2:]]).astype(np.int32)  # as if the first two words were encoded otherwise
+    keep, got, place = reuse.repaired(left, 0, text, right, text)
+    assert place > 1 and np.array_equal(np.concatenate([left.tokens[:keep], got, right.tokens[right.token[place] :]]), reuse.tokens(text + text))
+
+
 # --- 6: SimHash ---
 
 
