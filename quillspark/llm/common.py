@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textcore import give_back
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one when running in one local process."""
@@ -29,18 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Shuffle files of an execution go when it ends, not when the driver happens to collect its garbage; a lost one would be made again.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing: dict[int, list] = {}
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """The setting holds while any thread of this session writes; the last one out puts back what was there."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        state = _writing.setdefault(key, [0, spark.conf.get(_CLEANUP, None)])
+        state[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                del _writing[key]
+                spark.conf.unset(_CLEANUP) if state[1] is None else spark.conf.set(_CLEANUP, state[1])
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: short lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -70,6 +90,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], sch
             if batch.num_rows:
                 for cols in fn(batch):
                     yield to_batch(cols, target)
+                give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -81,8 +102,12 @@ def map_partition(df: DataFrame, fn: Callable[[pa.Table], Iterator[dict]], schem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
-            for cols in fn(pa.Table.from_batches(got)):
+            table = pa.Table.from_batches(got)
+            del got
+            for cols in fn(table):
                 yield to_batch(cols, target)
+            del table
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow, stored
-from .textcore import Words, mix, slices
+from .textcore import Words, mix, text_slices
 
 BROADCAST_KEYS = 1 << 20
 MAX_HASHES = 96
@@ -180,10 +180,10 @@ def contained(
         index = Index([r[0] for r in rows], [r[1] for r in rows], k, threshold, recall)
 
         def search(batch: pa.RecordBatch) -> Iterator[dict]:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = batch.column(0).to_pylist()
             got: list[tuple] = []
-            for lo, hi in slices(texts):
-                w = Words(texts[lo:hi])
+            for lo, _, texts in text_slices(batch.column(1)):
+                w = Words(texts)
                 pairs = {(d, i) for d, i in index.candidates(w) if ids[lo + d] is not None}
                 got += [(ids[lo + d], index.ids[i], c) for d, i, c in index.verified(w, pairs)]
             if got:
@@ -209,9 +209,9 @@ def _joined(docs: DataFrame, items: DataFrame, k: int, threshold: float, recall:
                 yield {"key": keys, "item_id": [i] * len(keys)}
 
     def doc_keys(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            w = Words(texts[lo:hi])
+        ids = batch.column(0).to_pylist()
+        for lo, hi, texts in text_slices(batch.column(1)):
+            w = Words(texts)
             own = np.array([i if i is not None else 0 for i in ids[lo:hi]], np.int64)
             null = np.array([i is None for i in ids[lo:hi]])
             for part, tag in parts.items():

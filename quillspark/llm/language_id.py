@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .textcore import Words, mix, segment_sum, slices
+from .textcore import Words, mix, segment_sum, slices, text_slices
 
 VOCABULARY = os.environ.get("QUILLSPARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 MARK, LONGEST, TABLE = "▁", 16, 1 << 17
@@ -231,9 +231,8 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     names = np.array(model.languages or [None], object)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            s, n = model.scores(texts[lo:hi]) if model.languages else (np.zeros((hi - lo, 1)), np.zeros(hi - lo, np.int64))
+        for lo, hi, texts in text_slices(batch.column(1)):
+            s, n = model.scores(texts) if model.languages else (np.zeros((hi - lo, 1)), np.zeros(hi - lo, np.int64))
             none = n == 0
             each = s / np.maximum(n, 1)[:, None]
             best = s.argmax(axis=1)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow
-from .textcore import Words, mix, segment_sum, slices
+from .textcore import Words, mix, segment_sum, slices, text_slices
 
 LABELLERS = ("symbols", "capitals", "words", "lines", "sentences", "separators", "word_length", "exclamations")
 BUCKETS = 1 << 14
@@ -200,9 +200,8 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
 def vote_counts(docs: DataFrame) -> DataFrame:
     """(pattern, n) over all documents that have words."""
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            v = View(texts[lo:hi])
+        for _, _, texts in text_slices(batch.column(1)):
+            v = View(texts)
             p, n = np.unique(pattern_number(v.votes())[v.n_words > 0], return_counts=True)
             yield {"pattern": p.astype(np.int32), "n": n}
 
@@ -274,9 +273,8 @@ def judged(docs: DataFrame, model: Model | None = None, threshold: float = 0.5,
     model = train(rows, max_docs) if model is None else model
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            post, score, some = model.judge(texts[lo:hi])
+        for lo, hi, texts in text_slices(batch.column(1)):
+            post, score, some = model.judge(texts)
             yield {
                 "doc_id": batch.column(0)[lo:hi], "posterior": pa.array(post, mask=~some | np.isnan(post)), "score": pa.array(score, mask=~some),
                 "keep": some & (score >= threshold),

@@ -35,13 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow, map_partition, numpy_column, release, stored
-from .textcore import Words, mix, slices
+from .textcore import Words, give_back, mix, powers, text_slices
 
 LEAST, K, WINDOW = 50, 3, 24
 NEAR = LEAST - WINDOW + 1  # a window's first minimum is among its first 24 shingles, so it covers as many words from there on
 PIECE = (1 << 24) - WINDOW
 _C = np.uint64(0xC2B2AE3D27D4EB4F)
-_BASE = 0xA0761D6478BD642F | 1
 _END = np.int64(-(2**63))  # stands for the end of a string, below every symbol and rank
 
 ORACLE_SQL = rf"""
@@ -62,7 +61,7 @@ class Spans:
 
     def __init__(self, w: Words):
         n = len(w) + 1
-        up, down = _powers(n)
+        up, down = powers(n)
         self.down = down
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * up[: len(w)], dtype=np.uint64)])
 
@@ -70,17 +69,6 @@ class Spans:
         return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64) * _C)
 
 
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    while len(_tables[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            old = _tables[k]
-            _tables[k] = np.concatenate([old, old * np.uint64(pow(base, len(old), 1 << 64))])
-    return _tables[0], _tables[1]
-
-
 def minima(w: Words) -> np.ndarray:
     """For each word of the slice, the position of the least of the 24 shingles from there on (the leftmost of equals)."""
     n = len(w)
@@ -109,10 +97,10 @@ def _phrases(batch: pa.RecordBatch) -> Iterator[dict]:
     ``txt``: hash of all words of its text, as an id may have several; ``at``: its first word; ``lo``..``hi``: the 50-word windows (by first word) whose first minimum it is (none: lo > hi); ``fam``: hash of all they cover;
     ``near``: hash of the words from ``at`` on that all of them cover.
     """
-    ids, texts = batch.column(0), batch.column(1).to_pylist()
+    ids = batch.column(0)
     valid, doc_ids = np.array(ids.is_valid()), ids.fill_null(0).to_numpy(zero_copy_only=False)
-    for lo, hi in slices(texts):
-        w = Words(texts[lo:hi])
+    for lo, hi, texts in text_slices(batch.column(1)):
+        w = Words(texts)
         low, span = minima(w), Spans(w)
         doc = w.doc_of_word()
         ends, word = w.offset[1:][doc], np.arange(len(w))
@@ -332,10 +320,10 @@ def _families(table: pa.Table) -> Iterator[dict]:
 
 def _windows(batch: pa.RecordBatch) -> Iterator[dict]:
     """The 50-word windows of the families at the edges of repeats, from the text of their first place."""
-    ids, texts = numpy_column(batch, "doc_id"), batch.column("text").to_pylist()
+    ids = numpy_column(batch, "doc_id")
     lists = [batch.column(k).to_pylist() for k in ("txt", "fam", "at", "lo", "hi")]
-    for a, b in slices(texts):
-        w = Words(texts[a:b])
+    for a, b, texts in text_slices(batch.column("text")):
+        w = Words(texts)
         span = Spans(w)
         own = _text_hash(w, span).view(np.int64)
         for d in range(a, b):
@@ -438,18 +426,19 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars
         F.collect_list("start_word").alias(starts), F.collect_list("n_words").alias(sizes)
     )
 
-    @F.pandas_udf("string")
-    def without(text, a, n):
+    @F.arrow_udf("string")
+    def without(text: pa.Array, a: pa.Array, n: pa.Array) -> pa.Array:
         out = []
-        for t, starts, sizes in zip(text, a, n, strict=True):
-            if not isinstance(t, str) or starts is None:
+        for k in range(len(text)):
+            t, starts, sizes = text[k].as_py(), a[k].as_py(), n[k].as_py()
+            if t is None or starts is None:
                 out.append(t)
                 continue
             w = Words([t], hashed=False)
             gone = np.zeros(len(w) + 1, np.int64)
-            for s, k in zip(starts, sizes, strict=True):
+            for s, size in zip(starts, sizes, strict=True):
                 gone[min(s, len(w))] += 1
-                gone[min(s + k, len(w))] -= 1
+                gone[min(s + size, len(w))] -= 1
             inside = np.cumsum(gone)[:-1] > 0
             edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
             pieces, at = [], 0
@@ -458,7 +447,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars
                 at = w.end[e - 1]
             pieces.append(t[at:])
             out.append(None if inside.all() else "".join(pieces))
-        return __import__("pandas").Series(out, dtype=object)
+        give_back()
+        return pa.array(out, pa.string())
 
     joined = docs.join(spans, docs[id_col].cast("long") == spans[at], "left")
     whole = F.col(at).isNull()

@@ -10,12 +10,15 @@ Words are maximal runs of letters and digits (``str.isalnum``), lower-cased.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -72,6 +75,47 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[
         yield lo, len(texts)
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Row ranges of about ``limit`` bytes of an Arrow column with their texts: only one range is held as Python strings at a time."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: it keeps what it has
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers live on between tasks, and what each keeps adds up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, a line end behind each, and where each begins (one entry more than texts)."""
+    raw = np.frombuffer(("\n".join([t or "" for t in texts]) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
+    return raw, np.concatenate([[0], np.cumsum(lengths)])
+
+
+def prefix_sums(cp: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial hash over code points."""
+    up, _ = powers(len(cp) + 1)
+    terms = (cp.astype(np.uint64) + np.uint64(0x51)) * _MIX1
+    terms ^= terms >> np.uint64(29)
+    terms *= up[: len(terms)]
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+
+
 class Words:
     """The words of some texts.
 
@@ -82,14 +126,11 @@ class Words:
 
     def __init__(self, texts: list[str | None], hashed: bool = True):
         lower, word = char_tables()
-        joined = "\n".join([t or "" for t in texts]) + "\n"
-        self.raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.raw, self.base = joined(texts)
         self.cp = lower[self.raw]
         is_word = word[self.raw]
         edge = np.diff(is_word.view(np.int8), prepend=0, append=0)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        lengths = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
-        self.base = np.concatenate([[0], np.cumsum(lengths)])
         self.offset = np.searchsorted(self.start, self.base)
         self.counts = np.diff(self.offset)
         if hashed:
@@ -101,11 +142,7 @@ class Words:
     def prefix(self) -> np.ndarray:
         """Prefix sums of the polynomial hash over the lower-cased code points."""
         if not hasattr(self, "_prefix"):
-            up, _ = powers(len(self.cp) + 1)
-            terms = (self.cp.astype(np.uint64) + np.uint64(0x51)) * _MIX1
-            terms ^= terms >> np.uint64(29)
-            terms *= up[: len(terms)]
-            self._prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+            self._prefix = prefix_sums(self.cp)
         return self._prefix
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

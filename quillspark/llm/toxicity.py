@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow
-from .textcore import Words, mix, slices
+from .textcore import Words, give_back, mix, slices, text_slices
 
 BUCKETS, WINDOW, DIM = 1 << 17, 16, 8
 GAIN = WINDOW
@@ -205,8 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000) -> Model
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, probability) for every row."""
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = batch.column(1).to_pylist()
-        p = [model.probability(texts[lo:hi]) for lo, hi in slices(texts)]
+        p = [model.probability(texts) for _, _, texts in text_slices(batch.column(1))]
         yield {"doc_id": batch.column(0), "probability": np.concatenate(p)}
 
     return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, probability double")
@@ -221,10 +220,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.6, max_l
     """The rows of docs below the threshold, all columns as they are, judged in one pass over the text."""
     model = train(docs, labels, max_labelled)
 
-    @F.pandas_udf("boolean")
-    def clean(text):
-        texts = [t if isinstance(t, str) else None for t in text]
-        p = [model.probability(texts[lo:hi]) for lo, hi in slices(texts)]
-        return __import__("pandas").Series(np.concatenate(p) < threshold if p else np.zeros(0, bool))
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        p = [model.probability(texts) < threshold for _, _, texts in text_slices(text)]
+        give_back()
+        return pa.array(np.concatenate(p) if p else np.zeros(0, bool))
 
     return docs.where(clean(F.col("text").cast("string")))
