@@ -4,12 +4,13 @@ A turn's content is a plain text or a JSON list of parts ({"type": "text" | "ima
 parts of a conversation in order: text stays, every other part becomes a numbered placeholder (``<|image_1|>``) in its place, with a record of the
 attachment (kind, reference, turn, part, expanded tokens). Expanded tokens are what the placeholder stands for in a model's input:
 an image counts ``IMAGE_BASE`` + ``IMAGE_TILE`` for each tile of 512 x 512 (one tile if its size isn't known), audio ``AUDIO_RATE`` a second
-begun, a document its text's tokens if it carries its text, else ``PAGE`` a page (one at least). Text counts its tokens in
+begun, a document its text's tokens if it carries its text, else ``PAGE`` a page (one at least). A size that isn't a number above 0 and up to
+``MOST`` is none. Text counts its tokens in
 a public byte-level vocabulary; role marks count one each.
 
 Cases: rows without a conversation id belong to none and are left out; a null turn stands first; a null role is "unknown"; a null or empty
 text is a turn without parts. Rows that repeat another wholly count once; rows of one turn that differ stand in the order of role and text.
-Content that looks like JSON but is not a list of typed parts is plain text; a part of another type, or without its reference, is kept as
+Content that looks like JSON but is not a list of typed parts (or is nested too deeply to be read) is plain text; halves of surrogate pairs become U+FFFD; a part of another type, or without its reference, is kept as
 an attachment of kind "unknown" or with a null reference. Marks that occur in texts are broken up ("<|" becomes "< |"), so that the marks in the result are
 those of this module. An empty table gives an empty result. Extra columns are ignored.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .bpe import VOCABULARY, encoder
 
 IMAGE_BASE, IMAGE_TILE, AUDIO_RATE, PAGE = 85, 170, 25, 600
+MOST = 1 << 24
 SCHEMA = (
     "conv_id long, n_turns int, n_parts int, text string, "
     "attachments array<struct<kind:string,ref:string,turn:int,part:int,n_tokens:long>>, n_text_tokens long, n_tokens long"
@@ -48,7 +50,7 @@ def parts_of(content: str | None) -> list[dict[str, Any]]:
     if content.lstrip()[:1] == "[":
         try:
             got = json.loads(content)
-        except ValueError:
+        except (ValueError, RecursionError):
             got = None
         if isinstance(got, list) and got and all(isinstance(p, dict) and isinstance(p.get("type"), str) for p in got):
             return got
@@ -57,7 +59,16 @@ def parts_of(content: str | None) -> list[dict[str, Any]]:
 
 def _number(part: dict, key: str) -> float | None:
     v = part.get(key)
-    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) and v > 0 else None
+    return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) and 0 < v <= MOST else None
+
+
+def _valid(text: str) -> str:
+    """The text as Unicode that can be stored: halves of surrogate pairs are replaced."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 class Flattener:
@@ -69,12 +80,13 @@ class Flattener:
         self.attachments: list[dict] = []
         self.text_tokens = self.marks = self.n_parts = 0
         self.numbers: dict[str, int] = {}
+        self.visits = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
 
     def turn(self, at: int, role: str | None, content: str | None) -> None:
         self.out.append(f"<|{self.plain(role or 'unknown')}|>\n")
         for k, part in enumerate(parts_of(content)):
             self.n_parts += 1
-            getattr(self, "visit_" + part["type"], self.visit_other)(part, at, k)
+            self.visits.get(part["type"], self.visit_other)(part, at, k)
         self.out.append("<|end|>\n")
         self.marks += 2
 
@@ -84,7 +96,7 @@ class Flattener:
 
     def visit_text(self, part: dict, at: int, k: int) -> None:
         text = part.get("text")
-        text = self.plain(text if isinstance(text, str) else "")
+        text = self.plain(_valid(text) if isinstance(text, str) else "")
         self.out.append(text)
         self.text_tokens += self.count(text)
 
@@ -98,7 +110,7 @@ class Flattener:
 
     def visit_document(self, part: dict, at: int, k: int) -> None:
         text = part.get("text")
-        self.attach("document", part, at, k, self.count(text) if isinstance(text, str) else PAGE * math.ceil(_number(part, "pages") or 1))
+        self.attach("document", part, at, k, self.count(_valid(text)) if isinstance(text, str) else PAGE * math.ceil(_number(part, "pages") or 1))
 
     def visit_other(self, part: dict, at: int, k: int) -> None:
         self.attach("unknown", part, at, k, 0)
@@ -107,7 +119,7 @@ class Flattener:
         n = self.numbers[kind] = self.numbers.get(kind, 0) + 1
         self.out.append(f"<|{kind}_{n}|>")
         ref = next((part[x] for x in ("url", "path", "id") if isinstance(part.get(x), str)), None)
-        self.attachments.append({"kind": kind, "ref": ref, "turn": at, "part": k, "n_tokens": tokens})
+        self.attachments.append({"kind": kind, "ref": None if ref is None else _valid(ref), "turn": at, "part": k, "n_tokens": tokens})
 
 
 def formatted(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
