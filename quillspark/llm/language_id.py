@@ -91,9 +91,11 @@ class Pieces:
 
 
 class Lattice:
-    """The pieces that end at each position of some distinct words, words sorted by length.
+    """The pieces that end at each position of some distinct words, words sorted by length, the longest first.
 
-    ``arcs[t]``: for each piece length n, (words, piece numbers) of the pieces over positions t-n..t.
+    ``arcs``: for each piece length (length, words, piece numbers, where the pieces that end at each position begin). All is in
+    proportion to the words' characters, so one word of a million letters costs what as many short ones do in memory (in time it is
+    slower, as it is walked letter by letter).
     """
 
     def __init__(self, w: Words, table: Pieces):
@@ -110,13 +112,12 @@ class Lattice:
         cp = w.cp[np.maximum(inner + start[owner] - 1, 0)].astype(np.uint64)
         cp[off[:-1]] = ord(MARK)
         self.longest = int(self.size[0]) if len(self.size) else 0
-        self.arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.longest + 1)]
-        h = {n: np.full(len(cp), n, np.uint64) for n in table.lengths}
+        self.arcs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         for n in table.lengths:
             m = len(cp) - n + 1
             if m <= 0:
                 continue
-            v = h[n][:m]
+            v = np.full(m, n, np.uint64)
             for j in range(n):
                 v = v * _STEP + cp[j : j + m] + np.uint64(1)
             inside = np.flatnonzero(inner[:m] + n <= self.size[owner[:m]])
@@ -126,48 +127,50 @@ class Lattice:
             ends = inner[at] + n
             by = np.argsort(ends, kind="stable")
             at, piece, ends = at[by], piece[by], ends[by]
-            edge = np.searchsorted(ends, np.arange(self.longest + 2))
-            for t in range(n, self.longest + 1):
-                if edge[t] < edge[t + 1]:
-                    s = slice(edge[t], edge[t + 1])
-                    self.arcs[t].append((n, owner[at[s]], piece[s]))
+            self.arcs.append((n, owner[at], piece, np.searchsorted(ends, np.arange(self.longest + 2))))
         self.alive = np.searchsorted(-self.size, -np.arange(self.longest + 1), "right")  # words at least t long
 
-    def forward(self, prob: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Log probability by word and language; also the scaled sums at each position and the log scales."""
+    def ending(self, t: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, words, piece numbers) of the pieces that end at t; a word has one piece of a length there at most."""
+        for n, word, piece, edge in self.arcs:
+            if edge[t] < edge[t + 1]:
+                yield n, word[edge[t] : edge[t + 1]], piece[edge[t] : edge[t + 1]]
+
+    def forward(self, prob: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """Log probability by word and language; also the scaled sums at each position and the log scales of the words that reach it
+        (only the last ``LONGEST`` positions unless all are to be kept)."""
         words, langs = len(self.size), prob.shape[1]
-        sums = [np.ones((words, langs))]
-        scale = np.zeros((self.longest + 1, words))
+        sums, scale = {0: np.ones((words, langs))}, {0: np.zeros(words)}
         out = np.zeros((words, langs))
         for t in range(1, self.longest + 1):
             n_alive = self.alive[t]
-            new = sums[t - 1][:n_alive] * UNKNOWN
-            for n, word, piece in self.arcs[t]:
-                shift = np.exp(scale[t - n, word] - scale[t - 1, word])[:, None]  # a word has one piece of a length that ends here
+            new, last = sums[t - 1][:n_alive] * UNKNOWN, scale[t - 1][:n_alive]
+            for n, word, piece in self.ending(t):
+                shift = np.exp(scale[t - n][word] - last[word])[:, None]
                 new[word] += sums[t - n][word] * prob[piece] * shift
             top = new.max(axis=1)
             new /= top[:, None]
-            scale[t, :n_alive] = scale[t - 1, :n_alive] + np.log(top)
-            sums.append(new)
+            sums[t], scale[t] = new, last + np.log(top)
             done = slice(self.alive[t + 1] if t < self.longest else 0, n_alive)
-            out[done] = np.log(np.maximum(new[done], 1e-300)) + scale[t, done][:, None]
+            out[done] = np.log(np.maximum(new[done], 1e-300)) + scale[t][done][:, None]
+            if not keep and t >= LONGEST:
+                del sums[t - LONGEST], scale[t - LONGEST]
         return out, sums, scale
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece by language, words weighted by ``weight`` (words by languages)."""
-        total, sums, scale = self.forward(prob)
-        words, langs = len(self.size), prob.shape[1]
+        total, sums, scale = self.forward(prob, keep=True)
+        langs = prob.shape[1]
         counts = np.zeros(prob.shape)
-        behind = [np.zeros((words, langs)) for _ in range(self.longest + 1)]
+        behind = [np.zeros((n, langs)) for n in self.alive]
         for t in range(self.longest, 0, -1):
             ended = slice(self.alive[t + 1] if t < self.longest else 0, self.alive[t])
-            behind[t][ended] = np.exp(scale[t, ended][:, None] - total[ended])  # scaled so that sums * behind is a posterior
             here = behind[t]
+            here[ended] = np.exp(scale[t][ended][:, None] - total[ended])  # scaled so that sums * behind is a posterior
             n_alive = self.alive[t]
-            step = np.exp(scale[t - 1, :n_alive] - scale[t, :n_alive])[:, None]
-            behind[t - 1][:n_alive] += here[:n_alive] * UNKNOWN * step
-            for n, word, piece in self.arcs[t]:
-                back = here[word] * prob[piece] * np.exp(scale[t - n, word] - scale[t, word])[:, None]
+            behind[t - 1][:n_alive] += here * UNKNOWN * np.exp(scale[t - 1][:n_alive] - scale[t])[:, None]
+            for n, word, piece in self.ending(t):
+                back = here[word] * prob[piece] * np.exp(scale[t - n][word] - scale[t][word])[:, None]
                 post = sums[t - n][word] * back * weight[word]
                 for l in range(langs):
                     counts[:, l] += np.bincount(piece, post[:, l], len(prob))

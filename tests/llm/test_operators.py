@@ -124,6 +124,50 @@ def test_languages_of_odd_rows(spark):
     assert {r["language"] for r in language_id.identified(df, language_id.train(df.limit(0))).collect()} == {None}
 
 
+def test_expected_uses_are_those_of_all_segmentations():
+    """The backward sums against enumerating every segmentation of every word."""
+    rng = np.random.default_rng(1)
+    vocabulary = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "aba"]
+    prob = rng.random((len(vocabulary), 2))
+    prob /= prob.sum(axis=0)
+    words = ["a", "abab", "baab", "zab", "abz", "bbbbbbb"]
+    w = language_id.Words(["\n".join(words)])
+    lattice = language_id.Lattice(w, language_id.Pieces.of(vocabulary))
+    weight = rng.random((len(lattice.size), 2))
+
+    def ways(word):
+        if not word:
+            yield []
+            return
+        for rest in ways(word[1:]):
+            yield [None, *rest]
+        for k, p in enumerate(vocabulary):
+            if word.startswith(p):
+                for rest in ways(word[len(p) :]):
+                    yield [k, *rest]
+
+    want = np.zeros(prob.shape)
+    for i, word in enumerate(words):
+        for l in (0, 1):
+            each = [(np.prod([language_id.UNKNOWN if k is None else prob[k, l] for k in way]), way) for way in ways("▁" + word)]
+            total = sum(p for p, _ in each)
+            for p, way in each:
+                for k in way:
+                    if k is not None:
+                        want[k, l] += p / total * weight[lattice.row[i], l]
+    assert np.allclose(lattice.expected(prob, weight), want, rtol=1e-9)
+
+
+def test_languages_of_a_very_long_word():
+    """One word of 100,000 letters beside thousands of short ones takes memory in proportion to the letters."""
+    rng = random.Random(21)
+    model = language_id.fit([prose(rng, 300), prose(rng, 300)], ["x", "y"], rounds=1)
+    words = " ".join({"".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(20_000)})
+    alone, _ = model.scores(["acgt" * 25_000])
+    got, n = model.scores([words, "acgt" * 25_000, words + " " + "acgt" * 25_000])
+    assert n.tolist()[1] == 1 and np.allclose(got[1], alone[0]) and np.allclose(got[0] + got[1], got[2])
+
+
 # --- 3: toxicity ---
 
 
@@ -434,6 +478,83 @@ def test_chat(spark):
     assert chat_format.formatted(df.limit(0)).collect() == []
 
 
+def hostile():
+    return [
+        "[" * 200_000, '[{"type": "text", "text": "\\ud800x"}, {"type": "image", "url": "\\udc00"}]', '[{"type": "image", "url": "u", "width": 1' + "0" * 400 + ', "height": 5}]',
+        '[{"type": "image", "url": "u", "width": 1e300, "height": 1e300}, {"type": "document", "pages": 1e30}, {"type": "audio", "seconds": NaN}]',
+        '[{"type": "audio", "seconds": 1' + "0" * 5000 + "}]", '[{"type": "text"}, {"type": "text", "text": 5}, {"type": "other"}, {"type": "init__"}]', "[]", "[1]", '[{"type": 3}]', '{"type": "text", "text": "x"}', " [ ", "\x00[",
+    ]
+
+
+def test_chat_of_hostile_content(spark):
+    long = "word " * 200_000
+    rows = [(i, 1, "user", t, "k", 9) for i, t in enumerate([*hostile(), long])] + [(50, 1, "user", "tie b", "k", 9), (50, 1, "user", "tie a", "k", 9), (50, 1, "agent", "tie c", "k", 9), (50, 1, "user", "tie a", "k", 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, kind string, n_tokens long")
+    got = {r["conv_id"]: r for r in chat_format.formatted(df).collect()}
+    assert len(got) == len(hostile()) + 2
+    assert got[0]["n_parts"] == 1 and got[0]["text"] == "<|user|>\n" + "[" * 200_000 + "<|end|>\n"
+    assert "\ufffdx<|image_1|>" in got[1]["text"] and got[1]["attachments"][0]["ref"] == "\ufffd"
+    assert [a["n_tokens"] for a in got[2]["attachments"]] == [255] and [a["n_tokens"] for a in got[3]["attachments"]] == [255, 600, 25]
+    assert got[4]["n_parts"] == 1 and [a["kind"] for a in got[5]["attachments"]] == ["unknown", "unknown"]
+    assert all(got[k]["attachments"] == [] for k in range(6, 12))
+    assert got[len(hostile())]["text"] == f"<|user|>\n{long}<|end|>\n"
+    assert got[50]["text"] == "<|agent|>\ntie c<|end|>\n<|user|>\ntie a<|end|>\n<|user|>\ntie b<|end|>\n" and got[50]["n_turns"] == 3
+
+
+def test_chat_against_a_plain_version(spark):
+    """Random conversations of typed parts against a straightforward loop."""
+    rng = random.Random(22)
+    enc = bpe.encoder(bpe.VOCABULARY)
+    count = lambda t: len(enc.encode_ordinary(t))
+
+    def part():
+        kind = rng.choice(["text", "text", "image", "audio", "document", "video"])
+        p = {"type": kind}
+        if kind == "text":
+            p["text"] = rng.choice(["hello there", "<|end|> mark", "", "中文 text"])
+        if rng.random() < 0.7 and kind != "text":
+            p[rng.choice(["url", "path", "id"])] = f"ref{rng.randrange(99)}"
+        for key in ("width", "height", "seconds", "pages"):
+            if rng.random() < 0.6:
+                p[key] = rng.choice([1, 512, 513, 3000, 2.5, -4, 0, "7", True, None])
+        if kind == "document" and rng.random() < 0.4:
+            p["text"] = "a document of its own"
+        return p
+
+    def size(p, key):
+        v = p.get(key)
+        return v if type(v) in (int, float) and v > 0 else None
+
+    rows, want = [], {}
+    for conv in range(60):
+        out, files, tokens, numbers, parts_n = "", [], 0, {}, 0
+        n = rng.randrange(1, 6)
+        for turn in range(n):
+            parts = [part() for _ in range(rng.randrange(1, 5))]
+            rows.append((conv, turn, "user", json.dumps(parts)))
+            out += "<|user|>\n"
+            for k, p in enumerate(parts):
+                parts_n += 1
+                if p["type"] == "text":
+                    t = p["text"].replace("<|", "< |")
+                    out, tokens = out + t, tokens + count(t)
+                    continue
+                kind = p["type"] if p["type"] != "video" else "unknown"
+                numbers[kind] = numbers.get(kind, 0) + 1
+                out += f"<|{kind}_{numbers[kind]}|>"
+                w, h = size(p, "width"), size(p, "height")
+                cost = {
+                    "image": 85 + 170 * (-(-w // 512) * -(-h // 512) if w and h else 1), "audio": 25 * -(-(size(p, "seconds") or 1) // 1),
+                    "document": count(p["text"]) if "text" in p else 600 * -(-(size(p, "pages") or 1) // 1), "unknown": 0,
+                }[kind]
+                files.append((kind, p.get("url", p.get("path", p.get("id"))), turn, k, int(cost)))
+            out += "<|end|>\n"
+        want[conv] = (n, parts_n, out, files, tokens, tokens + 2 * n + sum(f[4] for f in files))
+    rng.shuffle(rows)
+    got = chat_format.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["conv_id"]: (r["n_turns"], r["n_parts"], r["text"], [tuple(a) for a in r["attachments"]], r["n_text_tokens"], r["n_tokens"]) for r in got} == want
+
+
 # --- 10: quality ---
 
 
