@@ -79,6 +79,19 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
 
+def distinct_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df, of rows that repeat an id and text one only; rows without an id stay as they are.
+
+    Ids that stand on several rows are looked for first, without the texts; where there are none df is returned as it is.
+    """
+    again = stored(df.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 AND __again IS NOT NULL").select("__again"))
+    if not again.limit(1).count():
+        release(again)
+        return df
+    once = df.join(again, df[id_col] == again["__again"], "left_anti")
+    return once.unionByName(df.join(again, df[id_col] == again["__again"], "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow whose function gets one batch at a time and yields dicts of numpy arrays or lists."""
     target = pa.schema(
@@ -137,6 +150,8 @@ def _arrow(name: str) -> pa.DataType:
     }
     if name.startswith("array<"):
         return pa.list_(_arrow(name[6:-1]))
+    if name.startswith("decimal("):
+        return pa.decimal128(*map(int, name[8:-1].split(",")))
     return simple[name]
 
 

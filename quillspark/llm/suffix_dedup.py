@@ -14,7 +14,10 @@ once end a string, since no suffix needs comparing beyond them.
    whose whole surroundings are equal form one family, of which only the first is looked at further;
    where families differ but those 27 words agree, at the edges of repeats, 50-word windows are compared.
 
-Every task holds one shuffle partition at most; ranks and names never pass through the driver.
+Copies do not gather in a task. What is sorted, named, merged and compared is each distinct triple, suffix, family and window once,
+counted by aggregates that combine before they shuffle; results go back to the places by joins, whose hot keys the adaptive plan
+splits. Sorting ranges over the first three symbols, so one frequent phrase is spread by what follows it. Only the
+phrases of one text, and the spans of one pair of documents, meet in a task as they are. Ranks and names never pass through the driver.
 
 The result is exact (up to collisions of 64-bit hashes): a word belongs to a span if a 50-word window that covers it occurs
 earlier. Words are lower-cased runs of letters and digits.
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, map_partition, numpy_column, release, stored
+from .common import distinct_rows, id_text, map_arrow, map_partition, numpy_column, release, stored
 from .textcore import Words, give_back, mix, powers, text_slices
 
 LEAST, K, WINDOW = 50, 3, 24
@@ -130,17 +133,15 @@ def _phrases(batch: pa.RecordBatch) -> Iterator[dict]:
 PHRASES = "doc_id long, txt long, idx int, sym long, n int, at int, lo int, hi int, fam long, near long"
 
 
-def _repeated(table: pa.Table) -> Iterator[dict]:
-    cols = {c: numpy_column(table, c) for c in table.column_names}
-    order = np.lexsort((cols["idx"], cols["txt"], cols["doc_id"], cols["sym"]))
-    sym, doc, txt, idx = (cols[k][order] for k in ("sym", "doc_id", "txt", "idx"))
-    first = np.ones(len(order), bool)  # of rows that repeat an id and text one stays
-    first[1:] = (sym[1:] != sym[:-1]) | (doc[1:] != doc[:-1]) | (txt[1:] != txt[:-1]) | (idx[1:] != idx[:-1])
-    order, sym = order[first], sym[first]
-    _, inverse, count = np.unique(sym, return_inverse=True, return_counts=True)
-    keep = order[count[inverse] > 1]
-    if len(keep):
-        yield {c: v[keep] for c, v in cols.items()}
+#: Order of the places of the corpus, as one number that aggregates can compare: id, position, and part of the hash of the text for ids with several.
+_PLACE = "(CAST(doc_id AS DECIMAL(20,0)) * 4611686018427387904 + CAST({at} AS BIGINT) * 2147483648 + (txt & 2147483647))"
+
+
+def _repeated(phrases: DataFrame) -> DataFrame:
+    """The phrases that stand in two places at least."""
+    seen = F.xxhash64("doc_id", "txt", "idx")
+    twice = phrases.groupBy("sym").agg(F.min(seen).alias("a"), F.max(seen).alias("b")).where("a <> b").select("sym")
+    return phrases.join(twice, "sym", "left_semi")
 
 
 # The string table of a level has (seg, i, sym, cover): symbol i of string seg, and how many words it covers.
@@ -154,6 +155,9 @@ def _runs(table: pa.Table) -> Iterator[dict]:
     doc, txt, idx = (numpy_column(table, k) for k in ("doc_id", "txt", "idx"))
     order = np.lexsort((idx, txt, doc))
     doc, txt, idx = doc[order], txt[order], idx[order]
+    once = np.ones(len(doc), bool)  # texts of one id whose words are the same count once
+    once[1:] = (doc[1:] != doc[:-1]) | (txt[1:] != txt[:-1]) | (idx[1:] != idx[:-1])
+    order, doc, txt, idx = order[once], doc[once], txt[once], idx[once]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (txt[1:] != txt[:-1]) | (idx[1:] != idx[:-1] + 1)
     run = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
@@ -203,14 +207,11 @@ def _ordered_ids(new: np.ndarray) -> np.ndarray:
 
 
 def _names(table: pa.Table) -> Iterator[dict]:
+    """Names of distinct triples in their order; open: it stands for several places that it does not tell apart far enough."""
     c = {k: numpy_column(table, k) for k in table.column_names}
     order = np.lexsort((c["s2"], c["s1"], c["s0"]))
     c = {k: v[order] for k, v in c.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (c["s0"][1:] != c["s0"][:-1]) | (c["s1"][1:] != c["s1"][:-1]) | (c["s2"][1:] != c["s2"][:-1])
-    name = _ordered_ids(new)
-    twice = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1
-    yield {"seg": c["seg"], "i": c["i"], "sym": name, "cover": c["cover"], "pseg": c["pseg"], "pi": c["pi"], "open": twice & (c["cover"] < LEAST)}
+    yield {"s0": c["s0"], "s1": c["s1"], "s2": c["s2"], "name": _ordered_ids(np.ones(len(order), bool)), "open": (c["n"] > 1) & (c["cover"] < LEAST)}
 
 
 def _merged(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,11 +230,12 @@ def _merged(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, major
 
 
-SUFFIX = "seg long, i int, pseg long, pi int, cls int, s0 long, s1 long, s2 long, r0 long, r1 long, r2 long"
+TUPLE = ("cls", "s0", "s1", "s2", "r0", "r1", "r2")
+SUFFIX = "pseg long, pi int, cls int, s0 long, s1 long, s2 long, r0 long, r1 long, r2 long, h long"
 
 
 def _suffixes(table: pa.Table, carried: tuple[str, ...] = ()) -> Iterator[dict]:
-    """Each suffix with what merging compares: its first symbols and the ranks of the sampled suffixes from it on."""
+    """Each suffix with what merging compares: its first symbols and the ranks of the sampled suffixes from it on (``h``: hash of these)."""
     sampled = numpy_column(table, "sampled")
     ranks = table.filter(pa.array(sampled))
     c, end = _by_string(table.filter(pa.array(~sampled)), ("sym", "pseg", "pi", *carried))
@@ -242,11 +244,23 @@ def _suffixes(table: pa.Table, carried: tuple[str, ...] = ()) -> Iterator[dict]:
         r, _ = _by_string(ranks, ("sym",))
         place = np.searchsorted(c["seg"], r["seg"]) + r["i"]
         rank[place] = r["sym"]
-    yield {
-        "seg": c["seg"], "i": c["i"], "pseg": c["pseg"], "pi": c["pi"], "cls": (c["i"] % 3).astype(np.int32), "s0": c["sym"],
-        "s1": _ahead(c["sym"], end, 1, _END), "s2": _ahead(c["sym"], end, 2, _END),
+    out = {
+        "cls": (c["i"] % 3).astype(np.int32), "s0": c["sym"], "s1": _ahead(c["sym"], end, 1, _END), "s2": _ahead(c["sym"], end, 2, _END),
         "r0": rank, "r1": _ahead(rank, end, 1, _END), "r2": _ahead(rank, end, 2, _END),
-    } | {k: c[k] for k in carried}
+    }
+    h = np.zeros(len(rank), np.uint64)
+    for k in TUPLE:
+        h = mix(h * _C + out[k].astype(np.int64).view(np.uint64) + np.uint64(1))
+    out |= {"pseg": c["pseg"], "pi": c["pi"], "h": h}
+    if carried:
+        q = mix(c["sym"].view(np.uint64) * _C ^ c["near"].view(np.uint64))
+        out |= {"q": q, "g": mix(q * _C ^ c["fam"].view(np.uint64))} | {k: c[k] for k in ("txt", "at", "lo", "hi")}
+    yield out
+
+
+def _firsts(df: DataFrame, *keys: str, **more) -> DataFrame:
+    """One row for each tuple."""
+    return df.groupBy(*keys).agg(*[F.first(k).alias(k) for k in TUPLE], *[v.alias(k) for k, v in more.items()])
 
 
 def _ranked(table: pa.Table) -> Iterator[dict]:
@@ -256,23 +270,27 @@ def _ranked(table: pa.Table) -> Iterator[dict]:
     new = np.ones(len(order), bool)
     both = (c["cls"][1:] == 0) & (c["cls"][:-1] == 0)
     new[1:] = np.where(both, (c["s0"][1:] != c["s0"][:-1]) | (c["r1"][1:] != c["r1"][:-1]), (c["cls"][1:] == 0) | (c["cls"][:-1] == 0) | (c["r0"][1:] != c["r0"][:-1]))
-    yield {"pseg": c["pseg"], "pi": c["pi"], "rank": _ordered_ids(new)}
+    yield {"h": c["h"], "rank": _ordered_ids(new)}
 
 
 def _sampled_ranks(strings: DataFrame) -> DataFrame:
     """(seg, i, rank) of the sampled suffixes of the strings, by naming their triples and, where names tie too early, recursion; a stored table."""
     triples = stored(map_partition(strings.select("seg", "i", "sym", "cover").repartition("seg"), _triples, "seg long, i int, s0 long, s1 long, s2 long, cover int, pseg long, pi int"))
-    names = stored(map_partition(triples.repartitionByRange("s0", "s1", "s2"), _names, STRING + ", open boolean"))
+    kinds = triples.groupBy("s0", "s1", "s2").agg(F.count("*").alias("n"), F.max("cover").alias("cover"))
+    named = stored(map_partition(kinds.repartitionByRange("s0", "s1", "s2"), _names, "s0 long, s1 long, s2 long, name long, open boolean"))
+    names = stored(triples.join(named, ["s0", "s1", "s2"]).select("seg", "i", F.col("name").alias("sym"), "cover", "pseg", "pi"))
     release(triples)
-    if names.where("open").limit(1).count() == 0:
+    tied = named.where("open").limit(1).count() > 0
+    release(named)
+    if not tied:
         out = names.select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), F.col("sym").alias("rank"))
         out._stored_at = names._stored_at
         return out
-    rows, ranks = _with_ranks(names.select("seg", "i", "sym", "cover", "pseg", "pi"))
+    rows, ranks = _with_ranks(names)
     suffixes = stored(rows)
     release(names, ranks)
-    ranked = map_partition(suffixes.repartitionByRange("s0"), _ranked, "pseg long, pi int, rank long")
-    out = stored(ranked.select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), "rank"))
+    ranked = map_partition(_firsts(suffixes, "h").repartitionByRange("s0", "s1", "s2"), _ranked, "h long, rank long")
+    out = stored(suffixes.join(ranked, "h").select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), "rank"))
     release(suffixes)
     return out
 
@@ -284,44 +302,46 @@ def _with_ranks(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = strings.select("seg", "i", "sym", "pseg", "pi", *carried, F.lit(False).alias("sampled")).unionByName(
         ranks.select("seg", "i", F.col("rank").alias("sym"), F.lit(True).alias("sampled")), allowMissingColumns=True
     )
-    extra = ", txt long, at int, lo int, hi int, fam long, near long" if carried else ""
+    extra = ", q long, g long, txt long, at int, lo int, hi int" if carried else ""
     return map_partition(rows.repartition("seg"), lambda t: _suffixes(t, carried), SUFFIX + extra), ranks
 
 
-FAMILY = "doc_id long, txt long, at int, lo int, hi int, fam long, head_doc long, head_txt long, head_at int, edge boolean"
+KIND = "g long, q long, n long, head decimal(38,0), head_doc long"
 
 
-def _families(table: pa.Table) -> Iterator[dict]:
-    """Merge the suffixes, compare adjacent ones, and gather the places with equal surroundings."""
-    c = {k: numpy_column(table, k) for k in table.column_names}
+def _adjacent(table: pa.Table) -> Iterator[dict]:
+    """Merge the distinct suffixes and compare adjacent ones: those stay that share their first phrase with a neighbour, or stand for several places.
+
+    The first and last of a range have neighbours elsewhere and stay, too.
+    """
+    c = {k: numpy_column(table, k) for k in (*TUPLE, "n")}
     order, _ = _merged(c)
-    order = order[np.argsort(c["s0"][order], kind="stable")]  # strings of one first symbol are whole in this partition
-    c = {k: v[order] for k, v in c.items()}
-    one = c["s0"][1:] == c["s0"][:-1]
-    shared = np.append(one, False) | np.insert(one, 0, False)  # the first phrase is that of either neighbour
-    may = shared & (c["lo"] <= c["hi"])
-    c = {k: v[may] for k, v in c.items()}
-    if not len(c["fam"]):
-        return
-    order = np.lexsort((c["txt"], c["at"], c["pseg"], c["fam"], c["near"]))
-    c = {k: v[order] for k, v in c.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (c["fam"][1:] != c["fam"][:-1]) | (c["near"][1:] != c["near"][:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    size = np.bincount(head, minlength=len(new))[head]
-    _, group = np.unique(c["near"], return_inverse=True)
-    edge = np.bincount(group, new)[group] > 1
-    keep = (size > 1) | edge
-    yield {
-        "doc_id": c["pseg"][keep], "txt": c["txt"][keep], "at": c["at"][keep], "lo": c["lo"][keep], "hi": c["hi"][keep], "fam": c["fam"][keep],
-        "head_doc": c["pseg"][head][keep], "head_txt": c["txt"][head][keep], "head_at": c["at"][head][keep], "edge": edge[keep],
-    }
+    one = c["s0"][order][1:] == c["s0"][order][:-1]
+    may = np.append(one, True) | np.insert(one, 0, True) | (c["n"][order] > 1)
+    kept = table.take(pa.array(np.sort(order[may])))
+    yield {k: kept.column(k).combine_chunks() for k in ("g", "q", "n", "head", "head_doc")}
+
+
+def _families(suffixes: DataFrame) -> DataFrame:
+    """(g, head, head_doc, edge): families of places with equal surroundings that repeat something, and their first places.
+
+    ``edge``: others agree with it in the words that all windows cover, and differ around them.
+    """
+    places = suffixes.where("lo <= hi")
+    kinds = _firsts(places, "h", "g", q=F.first("q"), n=F.count("*"), head=F.min("place"), head_doc=F.min("doc_id"))
+    near = map_partition(kinds.repartitionByRange("s0", "s1", "s2"), _adjacent, KIND)
+    each = stored(near.groupBy("g").agg(F.first("q").alias("q"), F.sum("n").alias("n"), F.min("head").alias("head"), F.min("head_doc").alias("head_doc")))
+    several = each.groupBy("q").agg(F.count("*").alias("m")).where("m > 1").select("q", F.lit(True).alias("edge"))
+    out = each.join(several, "q", "left").select("g", "n", "head", "head_doc", F.coalesce("edge", F.lit(False)).alias("edge"))
+    done = stored(out.where("n > 1 OR edge").drop("n"))
+    release(each)
+    return done
 
 
 def _windows(batch: pa.RecordBatch) -> Iterator[dict]:
     """The 50-word windows of the families at the edges of repeats, from the text of their first place."""
     ids = numpy_column(batch, "doc_id")
-    lists = [batch.column(k).to_pylist() for k in ("txt", "fam", "at", "lo", "hi")]
+    lists = [batch.column(k).to_pylist() for k in ("txt", "g", "at", "lo", "hi")]
     for a, b, texts in text_slices(batch.column("text")):
         w = Words(texts)
         span = Spans(w)
@@ -334,21 +354,17 @@ def _windows(batch: pa.RecordBatch) -> Iterator[dict]:
             pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
             if len(pos):
                 yield {
-                    "hash": span(base + pos, base + pos + LEAST), "fam": np.repeat(fam, size), "l": (np.repeat(at, size) - pos).astype(np.int32),
+                    "hash": span(base + pos, base + pos + LEAST), "g": np.repeat(fam, size), "l": (np.repeat(at, size) - pos).astype(np.int32),
                     "doc_id": np.full(len(pos), ids[d]), "txt": np.full(len(pos), own[d - a]), "pos": pos.astype(np.int32),
                 }
 
 
-def _first_windows(table: pa.Table) -> Iterator[dict]:
-    c = {k: numpy_column(table, k) for k in table.column_names}
-    order = np.lexsort((c["txt"], c["pos"], c["doc_id"], c["hash"]))
-    c = {k: v[order] for k, v in c.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = c["hash"][1:] != c["hash"][:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = (c["doc_id"] != c["doc_id"][head]) | (c["pos"] != c["pos"][head]) | (c["txt"] != c["txt"][head])
-    if later.any():
-        yield {"fam": c["fam"][later], "l": c["l"][later], "first_doc": c["doc_id"][head][later]}
+def _first_windows(windows: DataFrame) -> DataFrame:
+    """(g, ls, firsts): the windows of a family that stand before in another, by their distance from its place, and the documents where."""
+    windows = windows.withColumn("place", F.expr(_PLACE.format(at="pos")))
+    first = windows.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.min("doc_id").alias("first_doc"))
+    later = windows.join(first.where("first < last").drop("last"), "hash").where("place > first")
+    return later.groupBy("g").agg(F.collect_list("l").alias("ls"), F.collect_list("first_doc").alias("firsts"))
 
 
 def _stretches(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -390,26 +406,30 @@ def _spans(table: pa.Table) -> Iterator[dict]:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first_doc_id, start_word, n_words): each stretch of words that repeats an earlier one, by the document where it first stands."""
-    docs = id_text(docs, id_col, text_col)
-    phrases = stored(map_partition(map_arrow(docs, _phrases, PHRASES).repartition("sym"), _repeated, PHRASES))
+    docs = distinct_rows(id_text(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id", "text")
+    found = stored(map_arrow(docs, _phrases, PHRASES))
+    phrases = stored(_repeated(found))
+    release(found)
     strings = stored(map_partition(phrases.repartition("doc_id", "txt"), _runs, STRING + ", txt long, at int, lo int, hi int, fam long, near long"))
     release(phrases)
-    suffixes, ranks = _with_ranks(strings)
-    families = stored(map_partition(suffixes.repartition("s0"), _families, FAMILY))
+    rows, ranks = _with_ranks(strings)
+    suffixes = stored(rows.withColumnRenamed("pseg", "doc_id").withColumn("place", F.expr(_PLACE.format(at="at"))).drop("pi"))
     release(strings, ranks)
-    is_head = (F.col("doc_id") == F.col("head_doc")) & (F.col("txt") == F.col("head_txt")) & (F.col("at") == F.col("head_at"))
-    heads = families.where(F.col("edge") & is_head).groupBy("doc_id").agg(*[F.collect_list(k).alias(k) for k in ("txt", "fam", "at", "lo", "hi")])
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").join(heads, "doc_id").select("doc_id", "text", "txt", "fam", "at", "lo", "hi")
-    windows = map_arrow(texts, _windows, "hash long, fam long, l int, doc_id long, txt long, pos int")
-    firsts = map_partition(windows.repartition("hash"), _first_windows, "fam long, l int, first_doc long")
-    firsts = firsts.groupBy("fam").agg(F.collect_list("l").alias("ls"), F.collect_list("first_doc").alias("firsts"))
-    known = families.withColumn("is_head", is_head).join(firsts, "fam", "left")
-    known = stored(known.where("ls IS NOT NULL OR NOT is_head").select("doc_id", "at", "lo", "hi", "head_doc", "is_head", "ls", "firsts"))
-    release(families)
+    heads = _families(suffixes)
+    families = stored(
+        suffixes.where("lo <= hi").join(heads, "g").select("doc_id", "txt", "at", "lo", "hi", "g", "head_doc", "edge", (F.col("place") == F.col("head")).alias("is_head"))
+    )
+    release(suffixes, heads)
+    edges = families.where("edge AND is_head").groupBy("doc_id").agg(*[F.collect_list(k).alias(k) for k in ("txt", "g", "at", "lo", "hi")])
+    texts = docs.join(edges, "doc_id").select("doc_id", "text", "txt", "g", "at", "lo", "hi")
+    windows = stored(map_arrow(texts, _windows, "hash long, g long, l int, doc_id long, txt long, pos int"))
+    known = families.join(_first_windows(windows), "g", "left").where("ls IS NOT NULL OR NOT is_head")
+    known = stored(known.select("doc_id", "at", "lo", "hi", "head_doc", "is_head", "ls", "firsts"))
+    release(families, windows)
     whole = known.where("ls IS NULL").select("doc_id", F.col("head_doc").alias("first_doc_id"), "lo", "hi")
     part = map_arrow(known.where("ls IS NOT NULL"), _stretches, "doc_id long, first_doc_id long, lo int, hi int")
     return map_partition(
-        whole.union(part).repartition("doc_id"), _spans, "doc_id long, first_doc_id long, start_word long, n_words long"
+        whole.union(part).repartition("doc_id", "first_doc_id"), _spans, "doc_id long, first_doc_id long, start_word long, n_words long"
     )
 
 
