@@ -7,8 +7,8 @@ the Jaccard similarity of a window that contains an item to the degree ``thresho
 rows follow from this bound so that such a window meets the item with probability ``recall`` at least. What is met
 is verified exactly on the strings: the share of the item's distinct shingles that the text has.
 
-Band keys of the items are sent to the executors while they are at most ``BROADCAST_KEYS``; more items are
-searched by a shuffled equality join on the same keys, with the same result.
+Band keys of the items are sent to the executors while they are at most ``BROADCAST_KEYS`` and the items' texts at most ``BROADCAST_CHARS``;
+more items are searched by a shuffled equality join on the same keys, with the same result.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow, stored
-from .textcore import Words, mix, text_slices
+from .textcore import Words, give_back, mix, text_slices
 
-BROADCAST_KEYS = 1 << 20
-MAX_HASHES = 96
-_A = (np.random.default_rng(20240607).integers(0, 2**63, MAX_HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+BROADCAST_KEYS, BROADCAST_CHARS = 1 << 20, 4 << 20
+MAX_HASHES = 96  # while a band of two rows or more can do with them; low thresholds take bands of one row and as many hashes as they need
+_A = (np.random.default_rng(20240607).integers(0, 2**63, 1 << 12, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -45,9 +45,9 @@ def bands_for(jaccard: float, recall: float, max_hashes: int = MAX_HASHES) -> tu
     for rows in (4, 3, 2, 1):
         p = jaccard**rows
         bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
-        if bands * rows <= max_hashes:
+        if bands * rows <= max_hashes or rows == 1 and bands <= len(_A):
             return bands, rows
-    return max_hashes, 1
+    raise ValueError(f"a similarity of {jaccard:.4f} takes over {len(_A)} hashes for a recall of {recall}; the threshold is too low")
 
 
 def part_of(n_words: int, k: int, threshold: float, recall: float) -> Part | None:
@@ -171,14 +171,11 @@ def contained(
 ) -> DataFrame:
     """(doc_id, item_id, containment) for each document and item (item_id, text) it contains to the threshold."""
     docs = id_text(docs, id_col, text_col)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id", "text"])
-    if items.limit(broadcast_keys // MAX_HASHES + 1).count() > broadcast_keys // MAX_HASHES:
+    items = _items(items)
+    index = _index(items, k, threshold, recall, broadcast_keys)
+    if index is None:
         found = _joined(docs, items, k, threshold, recall)
     else:
-        rows = sorted((r[0], r[1]) for r in items.collect())
-        index = Index([r[0] for r in rows], [r[1] for r in rows], k, threshold, recall)
-
         def search(batch: pa.RecordBatch) -> Iterator[dict]:
             ids = batch.column(0).to_pylist()
             got: list[tuple] = []
@@ -193,6 +190,48 @@ def contained(
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
+def _items(items: DataFrame) -> DataFrame:
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id", "text"])
+
+
+def _index(items: DataFrame, k: int, threshold: float, recall: float, broadcast_keys: int) -> Index | None:
+    """The index of the items if it is small enough to be sent to every task, by their number and by their texts."""
+    each = max(p.bands * p.rows for n in range(1, k + 8) if (p := part_of(n, k, threshold, recall)))
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    if n * each > broadcast_keys or chars > BROADCAST_CHARS:
+        return None
+    rows = sorted((r[0], r[1]) for r in items.collect())
+    return Index([r[0] for r in rows], [r[1] for r in rows], k, threshold, recall)
+
+
+def without(
+    docs: DataFrame, items: DataFrame, k: int, threshold: float, recall: float = 0.999,
+    id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS,
+) -> DataFrame:
+    """docs, in their own columns, without the rows whose text contains an item; each row is judged by its own text, and one without an id stays.
+
+    With a small index this is a filter and moves no row.
+    """
+    items = _items(items)
+    index = _index(items, k, threshold, recall, broadcast_keys)
+    if index is not None:
+        @F.arrow_udf("boolean")
+        def holds(text: pa.Array) -> pa.Array:
+            out = np.zeros(len(text), bool)
+            for lo, _, texts in text_slices(text):
+                w = Words(texts)
+                out[[lo + d for d, _, _ in index.verified(w, index.candidates(w))]] = True
+            give_back()
+            return pa.array(out)
+
+        return docs.where(F.col(id_col).cast("long").isNull() | ~holds(F.col(text_col).cast("string")))
+    row = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    some = docs.where(F.col(id_col).cast("long").isNotNull() & F.col(text_col).isNotNull()).select(row.alias("doc_id"), F.col(text_col).cast("string").alias("text")).distinct()
+    bad = _joined(some, items, k, threshold, recall).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, (row == bad["__bad"]) & F.col(id_col).cast("long").isNotNull(), "left_anti")
+
+
 def _joined(docs: DataFrame, items: DataFrame, k: int, threshold: float, recall: float) -> DataFrame:
     """The search for any number of items: keys of windows and of items meet in a shuffled join, then the texts of the pairs."""
     counted = stored(map_arrow(items.select("item_id", "text"), _count_words, "item_id long, text string, n int"))

@@ -10,9 +10,8 @@ that repeat an id give the largest containment once. An empty table of items lea
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .containment import contained
+from .containment import contained, without
 
 SHINGLE, THRESHOLD = 5, 0.6
 
@@ -34,6 +33,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, in their own columns, without the contaminated ones."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["__bad"], "left_anti")
+    """docs, in their own columns, without the contaminated ones: each row is judged by its own text, and one without an id stays."""
+    return without(docs, benchmark, options.pop("k", SHINGLE), options.pop("threshold", THRESHOLD), id_col=id_col, text_col=text_col, **options)

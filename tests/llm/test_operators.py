@@ -244,13 +244,35 @@ def test_decontamination(spark, broadcast_keys):
     assert set(got) <= set(want)
     assert len(got) >= 0.97 * len(want)
     assert all(abs(got[k] - want[k]) < 1e-12 for k in got)
-    clean = decontamination.decontaminated(df, bench)
+    clean = decontamination.decontaminated(df, bench, broadcast_keys=broadcast_keys)
     assert clean.columns == df.columns
     assert clean.where("doc_id IS NULL").count() == 1
+    kept = [r["doc_id"] for r in clean.select("doc_id").collect()]
+    assert sorted(str(i) for i in kept) == sorted(str(i) for i, _ in docs if i not in {d for d, _ in got})
     assert decontamination.contaminated(df, bench.limit(0)).collect() == []
     assert decontamination.contaminated(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_of_large_items_is_joined(spark, monkeypatch):
+    """Items whose texts are too long to be sent to every task, however few they are, are searched by a join with the same result."""
+    rng = random.Random(23)
+    items = [(1, prose(rng, 3000)), (2, prose(rng, 30))]
+    docs = table(spark, [(1, prose(rng, 50) + items[0][1]), (2, prose(rng, 50)), (3, items[1][1])])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {tuple(r) for r in decontamination.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(containment, "BROADCAST_CHARS", 1000)
+    assert containment._index(containment._items(bench), 5, 0.6, 0.999, containment.BROADCAST_KEYS) is None
+    assert {tuple(r) for r in decontamination.contaminated(docs, bench).collect()} == want and {(a, b) for a, b, _ in want} == {(1, 1), (3, 2)}
+
+
+def test_bands_keep_the_promised_recall():
+    for jaccard in (0.9, 0.5, 0.2, 0.1, 0.05, 0.01):
+        bands, rows = containment.bands_for(jaccard, 0.999)
+        assert 1 - (1 - jaccard**rows) ** bands >= 0.999
+    with pytest.raises(ValueError):
+        containment.bands_for(0.0001, 0.999)
+
+
 def test_licenses(spark):
     rng = random.Random(9)
     docs = odd(rng) + [(200 + i, prose(rng, rng.randrange(5, 3000)) + " " + t[2] + " " + prose(rng, 50)) for i, t in enumerate(license_scan.TEMPLATES)]
