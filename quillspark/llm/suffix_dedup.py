@@ -470,6 +470,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars
         give_back()
         return pa.array(out, pa.string())
 
+    without = without.asNondeterministic()  # else the filter below would run it a second time
+
     joined = docs.join(spans, docs[id_col].cast("long") == spans[at], "left")
     whole = F.col(at).isNull()
     new = F.when(whole, docs[text_col]).otherwise(without(docs[text_col].cast("string"), starts, sizes))
