@@ -162,6 +162,24 @@ def numpy_column(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return col.to_numpy(zero_copy_only=False)
 
 
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node) of the components of the pairs."""
+    nodes, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    i, j = place[: len(x)], place[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edge list; root is the smallest node of its component.
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, numpy_column, stored, to_batch
+from .common import connected_components, forest, map_arrow, numpy_column, stored, to_batch
 
 THRESHOLD, AXES, BLOCK, LEAF, RUN = 0.95, 6, 512, 128, 16
 
@@ -134,24 +134,6 @@ def ego_join(a: Sequence, b: Sequence, threshold: float, out: list, ra: tuple[in
         ego_join(a, b, threshold, out, (a0, a1), (mid, b1))
 
 
-def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node) of the components of the pairs."""
-    nodes, place = np.unique(np.concatenate([x, y]), return_inverse=True)
-    i, j = place[: len(x)], place[len(x) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def near_edges(vectors: DataFrame, d: int, threshold: float) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of vectors of length d with a cosine of at least threshold."""
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-5) + 1e-6)

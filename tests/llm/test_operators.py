@@ -41,9 +41,8 @@ def tokens(t):
 # --- components ---
 
 
-def test_components(spark):
-    rng = random.Random(3)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
+def components(edges):
+    """Smallest node by node."""
     root = {x: x for e in edges for x in e}
 
     def find(x):
@@ -54,9 +53,15 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    assert got == {x: find(x) for x in linked}
+    assert got == {x: r for x, r in components(edges).items() if x in linked}
 
 
 # --- 1: embeddings ---
@@ -359,6 +364,10 @@ def test_simhash_pairs_against_brute_force(spark):
     sig, _ = simhash_dedup.signatures_of([t for _, t in rows])
     reps = spark.createDataFrame([(i, *[int(x) for x in s.view(np.int64)]) for (i, _), s in zip(rows, sig, strict=True)], "rep long, s0 long, s1 long, s2 long")
     got = {(r["a"], r["b"]): r["bits"] for r in simhash_dedup.near_pairs(reps).collect()}
+    split = {(r["a"], r["b"]): r["bits"] for r in simhash_dedup.near_pairs(reps, bucket_rows=2, one_in=1).collect()}
+    assert split == got and len(simhash_dedup.hot_keys(reps, 2, 1)[0]) > 100  # blocks of hot keys change nothing
+    few = simhash_dedup.near_pairs(reps, every=False, bucket_rows=2, one_in=1).select("a", "b")
+    assert components(few.collect()) == components(got)
     want = {}
     for i in range(len(rows)):
         for j in range(i):
@@ -370,6 +379,52 @@ def test_simhash_pairs_against_brute_force(spark):
     assert len(got) >= 0.9 * len(want)
 
 
+def test_simhash_groups_against_brute_force(spark):
+    """Signatures bit by bit, pairs by all pairs, groups by their smallest id: the whole operator restated."""
+    rng = random.Random(24)
+    base = [prose(rng, rng.randrange(30, 200)).split() for _ in range(40)]
+    rows = []
+    for g, ws in enumerate(base):
+        for c in range(rng.randrange(1, 6)):
+            x = list(ws)
+            for _ in range(rng.choice((0, 0, 1, 3, 10))):
+                x[rng.randrange(len(x))] = rng.choice(VOCAB)
+            rows.append((g * 10 + c, " ".join(x)))
+
+    def signature(text):
+        w = simhash_dedup.Words([text])
+        words = {}
+        for h, a, b in zip(w.hash, w.start, w.end, strict=True):
+            words.setdefault(int(h), [0, min(int(b - a), 12) ** 2])[0] += 1
+        features = [(h, n) for h, (_, n) in words.items()]
+        with np.errstate(over="ignore"):
+            features += [(int(simhash_dedup.mix(np.array([h], np.uint64) + np.uint64(k))[0]), n) for h, (c, n) in words.items() for k in range(1, 12) if c >= 4**k]
+        out = []
+        for salt in simhash_dedup._SALT:
+            x = simhash_dedup.mix(np.array([h for h, _ in features], np.uint64) ^ salt)
+            for b in range(64):
+                out.append(2 * sum(n for v, (_, n) in zip(x, features, strict=True) if int(v) >> b & 1) > sum(n for _, n in features))
+        return np.array(out)
+
+    sig = {i: signature(t) for i, t in rows}
+    near, sure = [], []
+    for i in sig:
+        for j in sig:
+            if j < i:
+                d = int((sig[i] != sig[j]).sum())
+                segments, lo = [], 0
+                for n in simhash_dedup.SEGMENTS:
+                    segments.append(int((sig[i] != sig[j])[lo : lo + n].sum()))
+                    lo += n
+                if d <= simhash_dedup.MAX_BITS and min(segments) <= 1:
+                    near.append((j, i))
+                if d <= simhash_dedup.SURE:
+                    sure.append((j, i))
+    assert set(sure) <= set(near) and len(near) > 40
+    want = {i: r for i, r in components(near).items() if i != r}
+    assert {r["doc_id"]: r["duplicate_of"] for r in simhash_dedup.duplicates(table(spark, rows)).collect()} == want
+
+
 def test_simhash_of_odd_rows(spark):
     rng = random.Random(12)
     df = table(spark, odd(rng))
