@@ -1,8 +1,8 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Vectors are scaled to length one, so a cosine of at least t is a distance of at most eps = sqrt(2 - 2t). A rotation onto the principal
-axes of all vectors keeps distances and puts the spread first; cells of width eps on the leading axes give the epsilon grid order, by
-which the vectors are sorted over all partitions and cut into blocks. Blocks whose cell ranges are more than one cell apart on any axis are
+axes of the vectors keeps distances and puts the spread first; cells of width eps on the leading axes give the epsilon grid order, by
+which the vectors are sorted over all partitions and cut into blocks. The axes are fitted on a bounded sample (``FIT`` numbers); every vector is joined. Blocks whose cell ranges are more than one cell apart on any axis are
 provably distant and never meet. Blocks that may be near are joined by recursion over their sequences: intervals that are distant are skipped,
 short ones are compared by a matrix product, others are halved.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, forest, map_arrow, numpy_column, stored, to_batch
 
 THRESHOLD, AXES, BLOCK, LEAF, RUN = 0.95, 6, 512, 128, 16
+FIT = 1 << 22
 
 ORACLE_SQL = f"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -42,22 +43,16 @@ def _unit(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _axes(vectors: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and principal axes of all vectors; one row of sums a task, added up by entry."""
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, one, two = 0, np.zeros(d), np.zeros((d, d))
-        for b in batches:
-            if b.num_rows:
-                _, u = _unit(b, d)
-                n, one, two = n + len(u), one + u.sum(axis=0), two + u.T @ u
-        yield pa.RecordBatch.from_pydict({"s": pa.array([np.concatenate([[n], one, two.ravel()])], pa.list_(pa.float64()))})
-
-    rows = vectors.select("v").mapInArrow(sums, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    s = np.zeros(1 + d + d * d)
-    for i, x in rows:
-        s[i] = x
-    n = max(s[0], 1)
-    mean = s[1 : d + 1] / n
-    values, axes = np.linalg.eigh(s[d + 1 :].reshape(d, d) / n - np.outer(mean, mean))
+    """Mean and principal axes of about ``FIT`` / d vectors, chosen by hash of the id (all if there are no more).
+
+    Any rotation keeps distances, so the sample decides how well blocks are skipped and never what is found.
+    """
+    n, most = vectors.count(), max(FIT // d, 1)
+    some = vectors.select("v") if n <= most else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * most / n) + 1).select("v").limit(2 * most)
+    flat = some.toArrow().column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
+    u = flat / np.sqrt((flat * flat).sum(axis=1))[:, None]
+    mean = u.mean(axis=0) if len(u) else np.zeros(d)
+    values, axes = np.linalg.eigh((u - mean).T @ (u - mean))
     return mean, axes[:, np.argsort(-values)]
 
 

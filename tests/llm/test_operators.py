@@ -90,6 +90,58 @@ def test_embeddings(spark):
     assert embedding_dedup.duplicates(df.limit(0)).collect() == []
 
 
+def groups_of(near):
+    """Smallest member of each vector's group, from a matrix of near pairs."""
+    want = {}
+    for i in range(len(near)):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()]):
+                if j not in seen:
+                    seen.add(int(j))
+                    todo.append(int(j))
+        if min(seen) < i:
+            want[i] = min(seen)
+    return want
+
+
+def test_embeddings_over_many_blocks(spark, monkeypatch):
+    """Some forty blocks in runs of two, with near pairs that lie in different blocks, runs and cells; axes from part of the vectors."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "RUN", 2)
+    monkeypatch.setattr(embedding_dedup, "FIT", 8 * 300)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(900, 8)) * np.linspace(3, 0.5, 8)
+    v = np.vstack([base, base[:300] + rng.normal(size=(300, 8)) * 0.3])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = groups_of(unit @ unit.T >= 0.995)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    v32 = np.asarray(v, np.float32).astype(float)
+    unit = v32 / np.linalg.norm(v32, axis=1)[:, None]
+    assert groups_of(unit @ unit.T >= 0.995) == want and len(want) > 200
+    assert embedding_dedup._blocks(embedding_dedup_vectors(df), 8, 0.1).count() > 30
+    assert {r[0]: r[1] for r in embedding_dedup.duplicates(df, 0.995).collect()} == want
+
+
+def embedding_dedup_vectors(df):
+    return df.select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
+
+
+def test_grid_order_join_skips_and_finds():
+    """Sequences longer than a leaf: all near pairs, and none of two distant sequences is compared."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(500, 3)).astype(np.float32)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    cells = np.floor(unit / 0.1).astype(np.int32)
+    order = np.lexsort(cells.T[::-1])
+    seq = embedding_dedup.Sequence({"ids": order.astype(np.int64).tobytes(), "cells": cells[order].tobytes(), "vecs": v[order].tobytes()}, 3)
+    out = []
+    embedding_dedup.ego_join(seq, seq, 0.996, out)
+    got = {(int(seq.ids[i]), int(seq.ids[j])) for a, b in out for i, j in zip(a, b, strict=True)}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.996), strict=True) if i != j}
+    assert embedding_dedup.distant(cells[:1], cells[:1] + 2) and not embedding_dedup.distant(cells[:1], cells[:1] + 1)
+
+
 # --- 2: languages ---
 
 
