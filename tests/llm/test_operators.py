@@ -112,7 +112,7 @@ def test_embeddings_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "FIT", 8 * 300)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(900, 8)) * np.linspace(3, 0.5, 8)
-    v = np.vstack([base, base[:300] + rng.normal(size=(300, 8)) * 0.3])
+    v = np.vstack([base, base[:300] + rng.normal(size=(300, 8)) * 0.1])
     unit = v / np.linalg.norm(v, axis=1)[:, None]
     want = groups_of(unit @ unit.T >= 0.995)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
