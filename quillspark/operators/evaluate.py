@@ -77,7 +77,7 @@ def _target_scores(scores: DataFrame, docs: DataFrame, sign: int) -> DataFrame:
     true = docs.select("doc_id", F.coalesce("author", F.lit("")).alias("true_author"))
     tested = scores.select("doc_id").distinct().join(true, "doc_id")
     wanted = tested.select(F.col("true_author").alias("author")).distinct()
-    s = scores.join(true, "doc_id").join(F.broadcast(wanted), "author", "left_semi")
+    s = scores.join(true, "doc_id").join(wanted, "author", "left_semi")
     s = s.select("author", "doc_id", (F.col("score") * sign).alias("score"), (F.col("author") == F.col("true_author")).cast("int").alias("pos"))
     w = W.partitionBy("author")
     return s.withColumn("np", F.sum("pos").over(w)).withColumn("nn", F.count("*").over(w) - F.col("np")).where("np > 0 AND nn > 0")
@@ -175,7 +175,7 @@ def leave_one_out(config, docs: DataFrame) -> DataFrame:
     """Every document against all others.
 
     For neighbour methods without cullers that look at the known documents, all folds are one pair join with u <> k, and features
-    are made once. Other configurations run fold by fold.
+    are made once, as blocks of documents. Other configurations run fold by fold.
     """
     docs = _labelled(docs)
     shared = config.method.name in ("nearest_neighbor", "knn") and all("per_document" in CULLERS.get(s.name).traits for s in config.event_cullers)
@@ -190,16 +190,16 @@ def leave_one_out(config, docs: DataFrame) -> DataFrame:
     c = methods.Corpus(c.docs, hist=c.hist, distance=c.distance)
     c.__dict__["unknown"] = c.known.select(F.col("k").alias("u"))
     c.__dict__["unknown_hist"] = c.known_hist.select(F.col("k").alias("u"), "event", "cnt")
-    pairs = c.pairs().where("u <> k").join(F.broadcast(c.known), "k")
-    if many == 2:
-        alone = c.known.join(sizes.where("n_docs = 1"), "author").select(F.col("k").alias("u"))
-        pairs = pairs.join(F.broadcast(alone), "u", "left_anti")
     params = METHODS.get(config.method.name)
     if config.method.name == "knn":
         k = {q.name: q for q in params.params}["k"]
-        scores = methods.votes(pairs, k.parse(config.method.params.get("k", k.default)))
+        k = k.parse(config.method.params.get("k", k.default))
+        scores = methods.votes(c.nearest("nearest", k, apart=True), k)
     else:
-        scores = pairs.groupBy("u", "author").agg(F.min("dist").alias("score"))
+        scores = c.nearest("authors", apart=True)
+    if many == 2:
+        alone = c.known.join(sizes.where("n_docs = 1"), "author").select(F.col("k").alias("u"))
+        scores = scores.join(alone, "u", "left_anti")
     return methods.rank(scores, p.higher_is_better).select(F.col("u").alias("fold"), F.col("u").alias("doc_id"), "rank", "author", "score")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.model import METHODS, BadParameter, BadPipeline, Param
 from . import solvers
+from .blocks import blocked
 from .distance import Aligned, Pair, distances
 
 MAX_VOCABULARY = 20_000
@@ -90,12 +91,18 @@ class Corpus:
         full = self.docs.select("doc_id").join(m, "doc_id", "left").select("doc_id", fill("m").alias("x"))
         return self.known.join(full.withColumnRenamed("doc_id", "k"), "k"), self.unknown.join(full.withColumnRenamed("doc_id", "u"), "u")
 
-    def pairs(self, right: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
-        """(u, k, dist) of all unknown documents and all known ones (or other histograms)."""
+    def pairs(self, right: DataFrame, ids: DataFrame) -> DataFrame:
+        """(u, k, dist) of all unknown documents and some histograms, such as the authors' profiles."""
         if self.distance is None:
             raise BadPipeline("this method needs a distance")
-        right = self.known_hist.select("k", "event", "cnt") if right is None else right
-        return distances(self.unknown_hist, right, self.unknown, self.known.select("k") if ids is None else ids, self.distance)
+        return distances(self.unknown_hist, right, self.unknown, ids, self.distance)
+
+    def nearest(self, keep: str, k: int = 0, apart: bool = False) -> DataFrame:
+        """All unknown documents by all known ones, in blocks: each author's nearest (u, author, score) or the k nearest (u, k, author, dist)."""
+        if self.distance is None:
+            raise BadPipeline("this method needs a distance")
+        got = blocked(self.unknown_hist, self.known_hist.select("k", "event", "cnt"), self.unknown, self.known, self.distance, keep, k, apart)
+        return got.groupBy("u", "author").agg(F.min("score").alias("score")) if keep == "authors" else got
 
 
 Method = Callable[[Corpus], DataFrame]
@@ -110,7 +117,7 @@ def rank(scores: DataFrame, higher: bool) -> DataFrame:
 @METHODS.register("nearest_neighbor", traits=("distance",))
 def nearest_neighbor() -> Method:
     """Each author's nearest document."""
-    return lambda c: c.pairs().join(F.broadcast(c.known), "k").groupBy("u", "author").agg(F.min("dist").alias("score"))
+    return lambda c: c.nearest("authors")
 
 
 def votes(pairs: DataFrame, k: int) -> DataFrame:
@@ -122,7 +129,7 @@ def votes(pairs: DataFrame, k: int) -> DataFrame:
 @METHODS.register("knn", Param("k", 5, 1), traits=("distance", "higher"))
 def knn(k: int) -> Method:
     """Votes of the k nearest documents; only authors with votes."""
-    return lambda c: votes(c.pairs().join(F.broadcast(c.known), "k"), k)
+    return lambda c: votes(c.nearest("nearest", k), k)
 
 
 @METHODS.register("centroid", traits=("distance",))
