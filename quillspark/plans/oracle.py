@@ -295,7 +295,10 @@ ds AS (SELECT a.doc_id, a.i, 1 - least(1, coalesce(dot, 0) / (a.n * b.n)) AS dis
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {f"canon_{n}": f"SELECT doc_id, {e} AS text FROM documents" for n, e in CANON.items()}
+    from .oracle_evaluate import evaluation_sql
+
+    out = evaluation_sql()
+    out |= {f"canon_{n}": f"SELECT doc_id, {e} AS text FROM documents" for n, e in CANON.items()}
     out |= {f"event_{n}": q for n, q in EVENTS.items()}
     out |= {f"culler_{n}": q for n, q in CULLERS.items()}
     out["culler_set"] = f"WITH {HIST} SELECT event, count(*)::BIGINT AS n FROM h GROUP BY event"
