@@ -75,9 +75,12 @@ def load_function_words(language: str) -> frozenset[str]:
     return FUNCTION_WORDS[language]
 
 
-@DRIVERS.register("function_words", Param("language", "english"), TOKENIZER)
-def function_words(language: str, tokenizer: str) -> Driver:
-    """Function words of a language, lower-cased."""
+@DRIVERS.register("function_words", Param("language", "english"), TOKENIZER, Param("words", ""))
+def function_words(language: str, tokenizer: str, words: str) -> Driver:
+    """Function words of a language, lower-cased; or those of a list of one's own (a file, a word a line)."""
+    if words:
+        with open(words, encoding="utf-8") as f:
+            return _listed(frozenset(w.strip().lower() for w in f if w.strip()), tokenizer)
     return _listed(load_function_words(language), tokenizer)
 
 

@@ -16,7 +16,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -298,32 +298,36 @@ def thin_xent(window: int) -> Method:
 
 @METHODS.register("bagging_nn", Param("n_samples", 5, 1), Param("sample_size", 500, 1), Param("random_seed", 0), traits=("distance", "higher"))
 def bagging_nn(n_samples: int, sample_size: int, random_seed: int) -> Method:
-    """Votes of the n_samples nearest bootstrap samples of the authors' events; all authors are listed."""
+    """Votes of the n_samples nearest bootstrap samples of the authors' events; all authors are listed.
+
+    Draws are numbers from a hash of seed, author, sample and draw, looked up in the running totals of the author's events where they lie.
+    """
     def run(c: Corpus) -> DataFrame:
-        rows = c.known_hist.groupBy("author", "event").agg(F.sum("cnt").alias("n")).orderBy("author", "event").collect()
-        rng = random.Random(random_seed or None)
-        pools: dict[str, tuple[list, list]] = {}
-        for a, e, n in rows:
-            pools.setdefault(a, ([], []))[0].append(e)
-            pools[a][1].append(n)
-        drawn: list[tuple[str, str, int]] = []
-        ids = []
-        for a, (events, weights) in pools.items():
-            for s in range(n_samples):
-                ids.append((f"{s}\t{a}", a))
-                count: dict[str, int] = {}
-                for e in rng.choices(events, weights, k=sample_size):
-                    count[e] = count.get(e, 0) + 1
-                drawn += [(f"{s}\t{a}", e, n) for e, n in count.items()]
-        spark = c.docs.sparkSession
-        samples = spark.createDataFrame(drawn, "k string, event string, cnt long")
-        owner = spark.createDataFrame(ids, "k string, author string")
-        got = votes(c.pairs(samples, owner.select("k")).join(F.broadcast(owner), "k"), n_samples)
+        seed = random_seed or random.randrange(1, 1 << 31)
+        total = c.known_hist.groupBy("author", "event").agg(F.sum("cnt").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("author").orderBy("event"))
+        pool = total.select("author", "event", (upto - F.col("n")).alias("at"), F.lit(None).cast("string").alias("k"), F.lit(0).alias("drawn"))
+        mass = total.groupBy("author").agg(F.sum("n").alias("mass"))
+        draws = mass.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(sample_size - 1))))
+        draws = draws.select("author", F.lit(None).cast("string").alias("event"), (number(seed, "author", "s", "t") % F.col("mass")).alias("at"), F.concat_ws("\t", "s", "author").alias("k"), F.lit(1).alias("drawn"))
+        found = F.last("event", ignorenulls=True).over(W.partitionBy("author").orderBy("at", "drawn"))
+        samples = pool.unionByName(draws).withColumn("event", found).where("drawn = 1").groupBy("k", "event").agg(F.count("*").alias("cnt"))
+        owner = mass.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))).select(F.concat_ws("\t", "s", "author").alias("k"), "author")
+        got = votes(c.pairs(samples, owner.select("k")).join(owner, "k"), n_samples)
         return c.grid.join(got, ["u", "author"], "left").fillna(0.0, ["score"])
 
     return run
 
 
+def digest(seed: int, *cols: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+
+
+def number(seed: int, *cols: str) -> Column:
+    """A number below 2**60 that looks random, by seed and columns."""
+    return F.conv(F.substring(digest(seed, *cols), 1, 15), 16, 10).cast("long")
+
+
 CALIBRATION = (Param("calibration_low", 0.0, 0, 1), Param("calibration_high", 0.0, 0, 1))
 
 
@@ -339,46 +343,38 @@ def calibrated(scores: DataFrame, low: float, high: float) -> DataFrame:
     traits=("distance", "higher", "verification"),
 )
 def imposters(n_iterations: int, feature_subset_ratio: float, n_imposters: int, random_seed: int, calibration_low: float, calibration_high: float) -> Method:
-    """General Imposters: how often a candidate is nearer than sampled imposters, on sampled features.
+    """General Imposters: how often a candidate is nearer than sampled imposters (to ten digits), on sampled features.
 
-    The draws are seeded and do not depend on the unknown document, so one plan of draws, made on the driver (features by
-    candidate and iteration; its size is that of the culled vocabulary, not of the corpus), is joined to all documents.
+    Draws are hashes of seed, candidate, iteration and what is drawn, so they are made where the data is and do not depend on the unknown document.
+    Imposters are drawn by their position in the order of (author, id), with repetition.
     """
     def run(c: Corpus) -> DataFrame:
-        rng = random.Random(random_seed or None)
-        vocab = c.vocabulary()
-        known = sorted((r[1], r[0]) for r in c.known.collect())
-        names = list(dict.fromkeys(a for a, _ in known))
-        take = min(max(1, int(len(vocab) * feature_subset_ratio)), len(vocab))
-        features, against, alone = [], [], []
-        for a in names:
-            others = [k for b, k in known if b != a]
-            if not others:
-                alone.append((a,))
-                continue
-            own = [k for b, k in known if b == a]
-            for i in range(n_iterations):
-                draw = rng.sample(vocab, take)
-                chosen = rng.choices(others, k=min(n_imposters, len(others)))
-                features.append((a, i, draw))
-                against += [(a, i, k, True) for k in own] + [(a, i, k, False) for k in sorted(set(chosen))]
-        spark = c.docs.sparkSession
-        kind = c.known.schema["k"].dataType.simpleString()
-        score = spark.createDataFrame([], "author string, wins long")
-        if features:
-            plan = spark.createDataFrame(features, "cand string, iter int, events array<string>").select("cand", "iter", F.explode("events").alias("event"))
-            who = spark.createDataFrame(against, f"cand string, iter int, k {kind}, own boolean")
-            by = ["cand", "iter"]
-            left = c.unknown_hist.join(F.broadcast(plan), "event").select(*by, "u", "event", "cnt")
-            right = c.known_hist.select("k", "event", "cnt").join(F.broadcast(who), "k").join(F.broadcast(plan), [*by, "event"]).select(*by, "k", "event", "cnt")
-            rounds = who.select(*by).distinct()
-            pairs = distances(left, right, c.unknown.crossJoin(F.broadcast(rounds)), who.select(*by, "k"), c.distance, by)
-            best = pairs.join(F.broadcast(who), [*by, "k"]).groupBy(*by, "u").agg(F.min(F.when(F.col("own"), F.col("dist"))).alias("a"), F.min(F.when(~F.col("own"), F.col("dist"))).alias("b"))
-            score = best.groupBy("u", F.col("cand").alias("author")).agg((F.sum((F.col("a") < F.col("b")).cast("int")) / F.lit(float(n_iterations))).alias("score"))
-        else:
-            score = c.grid.where("false").withColumn("score", F.lit(0.0))
-        if alone:
-            score = score.unionByName(c.unknown.crossJoin(spark.createDataFrame(alone, "author string")).withColumn("score", F.lit(1.0)))
+        seed = random_seed or random.randrange(1, 1 << 31)
+        vocab = c.known_hist.select("event").distinct()
+        size = vocab.count()
+        take = min(max(1, int(size * feature_subset_ratio)), size)
+        upto = F.sum("n_docs").over(W.orderBy("author"))  # one row an author
+        authors = c.authors.select("author", "n_docs", (upto - F.col("n_docs")).alias("first"), F.sum("n_docs").over(W.partitionBy()).alias("all"))
+        rounds = authors.where("n_docs < all").withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iterations - 1)))).withColumnRenamed("author", "cand")
+        drawn = rounds.select("cand", "iter").crossJoin(vocab)
+        drawn = drawn.withColumn("r", F.row_number().over(W.partitionBy("cand", "iter").orderBy(digest(seed, "cand", "iter", "event"), "event")))
+        features = drawn.where(F.col("r") <= take).select("cand", "iter", "event")
+        others = F.col("all") - F.col("n_docs")
+        draws = rounds.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(n_imposters), others) - 1)))
+        draws = draws.withColumn("at", number(seed, "cand", "iter", "t") % others)
+        draws = draws.select("cand", "iter", F.when(F.col("at") < F.col("first"), F.col("at")).otherwise(F.col("at") + F.col("n_docs")).alias("at")).distinct()
+        placed = c.known.join(authors.select("author", "first"), "author").select("k", (F.row_number().over(W.partitionBy("author").orderBy("k")) - 1 + F.col("first")).alias("at"))
+        own = rounds.select("cand", "iter").join(c.known.withColumnRenamed("author", "cand"), "cand").select("cand", "iter", "k", F.lit(True).alias("own"))
+        who = own.unionByName(draws.join(placed, "at").select("cand", "iter", "k", F.lit(False).alias("own")))
+        by = ["cand", "iter"]
+        left = c.unknown_hist.join(features, "event").select(*by, "u", "event", "cnt")
+        right = c.known_hist.select("k", "event", "cnt").join(who, "k").join(features, [*by, "event"]).select(*by, "k", "event", "cnt")
+        pairs = distances(left, right, c.unknown.crossJoin(F.broadcast(rounds.select(*by))), who.select(*by, "k"), c.distance, by)
+        best = pairs.join(who, [*by, "k"]).groupBy(*by, "u").agg(F.min(F.when(F.col("own"), F.col("dist"))).alias("a"), F.min(F.when(~F.col("own"), F.col("dist"))).alias("b"))
+        nearer = (F.round("a", 10) < F.round("b", 10)).cast("int")
+        score = best.groupBy("u", F.col("cand").alias("author")).agg((F.sum(nearer) / F.lit(float(n_iterations))).alias("score"))
+        alone = authors.where("n_docs = all").select("author")
+        score = score.unionByName(c.unknown.crossJoin(F.broadcast(alone)).withColumn("score", F.lit(1.0)))
         return calibrated(score, calibration_low, calibration_high)
 
     return run

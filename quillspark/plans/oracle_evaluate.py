@@ -1,9 +1,9 @@
-"""SQL of the evaluation queries: metrics over predictions, and protocols written out fold by fold."""
+"""SQL of the evaluation queries and of methods with draws: metrics over predictions, protocols written out fold by fold, draws by hash."""
 
 from __future__ import annotations
 
 from ..functions.events import load_function_words
-from .oracle import _PRED, DISTANCES, UNION, _in, _ranked, low, words
+from .oracle import _PRED, DISTANCES, UNION, _cut, _in, _ranked, low, words
 
 _SUMMARY = _PRED + """,
 b AS (SELECT count(*)::DOUBLE AS n, sum((given = truth)::INT)::DOUBLE AS nc, sum((score = 0.5)::INT)::DOUBLE AS nu, 1 - avg(pow(greatest(0, least(1, score)) - (given = truth)::INT, 2)) AS brier FROM pred),
@@ -67,8 +67,50 @@ d AS (SELECT doc_id, source AS author, lang = 'en' AS known, {low('text')} AS t
 )
 
 
+def _number(*values: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(values)})), 1, 15))::BIGINT"
+
+
+_IMPOSTERS = _cut(100) + f""",
+ao AS (SELECT author, n_docs, sum(n_docs) OVER (ORDER BY author) - n_docs AS first, sum(n_docs) OVER () AS total FROM au),
+ro AS (SELECT author AS cand, n_docs, first, total, unnest(range(10)) AS iter FROM ao WHERE n_docs < total),
+ft AS (SELECT cand, iter, event FROM ro CROSS JOIN keep QUALIFY row_number() OVER (PARTITION BY cand, iter ORDER BY md5(concat_ws('|', '42', cand, iter, event)), event) <= greatest(1, (SELECT count(*) // 2 FROM keep))),
+dw AS (SELECT cand, iter, n_docs, first, {_number("'42'", 'cand', 'iter', 't')} % (total - n_docs) AS place FROM (SELECT *, unnest(range(least(10, total - n_docs)::BIGINT)) AS t FROM ro)),
+ps AS (SELECT d.doc_id AS k, row_number() OVER (PARTITION BY d.author ORDER BY d.doc_id) - 1 + first AS place FROM d JOIN ao USING (author) WHERE known),
+wh AS (SELECT cand, iter, d.doc_id AS k, TRUE AS own FROM ro JOIN d ON d.author = ro.cand AND d.known
+  UNION ALL SELECT DISTINCT cand, iter, ps.k, FALSE FROM dw JOIN ps ON ps.place = CASE WHEN dw.place < first THEN dw.place ELSE dw.place + n_docs END),
+fc AS (SELECT cand, iter, doc_id, event, cnt::DOUBLE AS cnt FROM c JOIN ft USING (event)),
+nm AS (SELECT cand, iter, doc_id, sqrt(sum(cnt * cnt)) AS n FROM fc GROUP BY ALL),
+wf AS (SELECT fc.cand, fc.iter, wh.k, event, cnt FROM fc JOIN wh ON wh.cand = fc.cand AND wh.iter = fc.iter AND wh.k = fc.doc_id),
+dt AS (SELECT a.cand, a.iter, a.doc_id AS u, b.k, sum(a.cnt * b.cnt) AS dot FROM fc a JOIN wf b ON a.cand = b.cand AND a.iter = b.iter AND a.event = b.event JOIN un ON un.doc_id = a.doc_id GROUP BY ALL),
+pr AS (SELECT wh.cand, wh.iter, un.doc_id AS u, own, round(CASE WHEN x.n IS NULL OR y.n IS NULL THEN 1 ELSE 1 - least(1, coalesce(dot, 0) / (x.n * y.n)) END, 10) AS dist
+  FROM wh CROSS JOIN un LEFT JOIN nm x ON x.cand = wh.cand AND x.iter = wh.iter AND x.doc_id = un.doc_id LEFT JOIN nm y ON y.cand = wh.cand AND y.iter = wh.iter AND y.doc_id = wh.k
+  LEFT JOIN dt ON dt.cand = wh.cand AND dt.iter = wh.iter AND dt.u = un.doc_id AND dt.k = wh.k),
+bs AS (SELECT cand, iter, u, min(dist) FILTER (own) AS a, min(dist) FILTER (NOT own) AS b FROM pr GROUP BY ALL),
+im AS (SELECT u AS doc_id, cand AS author, sum((a < b)::INT) / 10.0 AS score FROM bs GROUP BY ALL
+  UNION ALL SELECT doc_id, author, 1.0 FROM un CROSS JOIN ao WHERE n_docs = total)"""
+
+_BAGGING = _cut(300) + f""",
+tt AS (SELECT author, event, sum(cnt)::BIGINT AS n FROM c WHERE known GROUP BY ALL),
+pl AS (SELECT author, event, n, sum(n) OVER (PARTITION BY author ORDER BY event) AS upto, sum(n) OVER (PARTITION BY author)::BIGINT AS mass FROM tt),
+dw AS (SELECT author, s, {_number("'42'", 'author', 's', 't')} % mass AS place FROM (SELECT DISTINCT author, mass FROM pl) CROSS JOIN (SELECT unnest(range(5)) AS s) CROSS JOIN (SELECT unnest(range(500)) AS t)),
+sp AS (SELECT pl.author, s, event, count(*)::DOUBLE AS cnt FROM dw JOIN pl ON pl.author = dw.author AND place >= upto - n AND place < upto GROUP BY ALL),
+sn AS (SELECT author, s, sqrt(sum(cnt * cnt)) AS n FROM sp GROUP BY ALL),
+us AS (SELECT doc_id, sqrt(sum(cnt::DOUBLE * cnt)) AS n FROM c WHERE NOT known GROUP BY ALL),
+dt AS (SELECT c.doc_id, sp.author, s, sum(c.cnt * sp.cnt) AS dot FROM c JOIN sp USING (event) WHERE NOT known GROUP BY ALL),
+ds AS (SELECT un.doc_id, sn.author, sn.s, CASE WHEN us.n IS NULL THEN 1 ELSE 1 - least(1, coalesce(dot, 0) / (us.n * sn.n)) END AS dist FROM un CROSS JOIN sn LEFT JOIN us ON us.doc_id = un.doc_id
+  LEFT JOIN dt ON dt.doc_id = un.doc_id AND dt.author = sn.author AND dt.s = sn.s),
+nr AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dist, 10), s || chr(9) || author) <= 5),
+vt AS (SELECT doc_id, author, count(*) / 5.0 AS score FROM nr GROUP BY ALL)"""
+
+
 def evaluation_sql() -> dict[str, str]:
+    verdict = "CASE WHEN score = 0.5 THEN 'INCONCLUSIVE' WHEN score >= 0.5 THEN 'VERIFIED' ELSE 'REJECTED' END"
     return {
+        "method_imposters": _ranked((_IMPOSTERS, "SELECT doc_id, author, score FROM im"), True),
+        "method_bagging_nn": _ranked((_BAGGING, "SELECT un.doc_id, au.author, coalesce(score, 0) AS score FROM un CROSS JOIN au LEFT JOIN vt ON vt.doc_id = un.doc_id AND vt.author = au.author"), True),
+        "evaluate_verdicts": f"""WITH {_IMPOSTERS}, ca AS (SELECT doc_id, author, CASE WHEN score BETWEEN 0.35 AND 0.65 THEN 0.5 ELSE score END::DOUBLE AS score FROM im),
+tp AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, author) = 1) SELECT doc_id, author, score, {verdict} AS verdict FROM tp""",
         "evaluate_summary": f"WITH {_SUMMARY} SELECT " + ", ".join(f"round(({e})::DOUBLE, 7) AS {n}" for n, e in _METRICS.items()) + " FROM b3 CROSS JOIN ma CROSS JOIN rr CROSS JOIN bd",
         "evaluate_leave_one_out": f"""WITH {_FUNCTION_PAIRS}, sc AS (SELECT u AS doc_id, author, round(min(dist), 8) AS score FROM pr GROUP BY ALL)
 SELECT doc_id, author, score::DOUBLE AS score FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score, author) = 1""",
