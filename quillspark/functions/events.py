@@ -510,10 +510,25 @@ def selma_embeddings(model_name: str, max_length: int, instruction: str) -> Driv
     """Instruction-prefixed embeddings: the last token's state, scaled to length one."""
     registered = ENCODERS.get(model_name)
 
+    def load() -> Callable[[list[str]], list[list[float]]]:
+        try:
+            import torch
+            from transformers import AutoModel, AutoTokenizer
+        except ImportError as e:
+            raise LoadError(f"no encoder named {model_name}; register one in ENCODERS or install transformers and torch") from e
+        tok, net = AutoTokenizer.from_pretrained(model_name), AutoModel.from_pretrained(model_name).eval()
+
+        def encode(texts: list[str]) -> list[list[float]]:
+            out = []
+            with torch.no_grad():
+                for t in texts:  # one by one, so that the last state is that of the last token and not of padding
+                    out.append(net(**tok(t, return_tensors="pt", truncation=True, max_length=max_length)).last_hidden_state[0, -1].tolist())
+            return out
+
+        return encode
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = registered
-        if encode is None:
-            raise LoadError(f"no encoder named {model_name}; register one in ENCODERS (instructed models are not bundled)")
+        encode = registered or load()
         for s in batches:
             v = np.array(encode([f"Instruct: {instruction}\nQuery: {t or ''}" for t in s]), float)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -538,11 +553,28 @@ def perplexity(model_name: str, max_length: int) -> Driver:
     """Moments of a language model's surprisal over the tokens."""
     registered = LANGUAGE_MODELS.get(model_name)
 
+    def load() -> Callable[[str], list[float]]:
+        try:
+            import torch
+            from transformers import AutoModelForCausalLM, AutoTokenizer
+        except ImportError as e:
+            raise LoadError(f"no language model named {model_name}; register one in LANGUAGE_MODELS or install transformers and torch") from e
+        tok, net = AutoTokenizer.from_pretrained(model_name), AutoModelForCausalLM.from_pretrained(model_name).eval()
+
+        def surprisal(text: str) -> list[float]:
+            ids = tok(text, return_tensors="pt", truncation=True, max_length=max_length).input_ids
+            if ids.shape[1] < 2:
+                return []
+            with torch.no_grad():
+                logs = torch.log_softmax(net(ids).logits[0, :-1], dim=-1)
+            return (-logs.gather(1, ids[0, 1:, None])[:, 0]).tolist()
+
+        return surprisal
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if registered is None:
-            raise LoadError(f"no language model named {model_name}; register one in LANGUAGE_MODELS")
+        surprisal = registered or load()
         for s in batches:
-            yield s.map(lambda t: surprisal_profile(registered(t or "")))
+            yield s.map(lambda t: surprisal_profile(surprisal(t or "")))
 
     return _numbers(run)
 
