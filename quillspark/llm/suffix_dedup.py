@@ -134,14 +134,24 @@ PHRASES = "doc_id long, txt long, idx int, sym long, n int, at int, lo int, hi i
 
 
 #: Order of the places of the corpus, as one number that aggregates can compare: id, position, and part of the hash of the text for ids with several.
-_PLACE = "(CAST(doc_id AS DECIMAL(20,0)) * 4611686018427387904 + CAST({at} AS BIGINT) * 2147483648 + (txt & 2147483647))"
+WIDE = "(CAST(doc_id AS DECIMAL(20,0)) * 4611686018427387904 + CAST({at} AS BIGINT) * 2147483648 + (txt & 2147483647))"
+#: The same order where ids are between 0 and 2**32 and each has one text.
+NARROW = "(doc_id * 2147483648 + {at})"
+
+
+def _place(docs: DataFrame) -> str:
+    """The narrower number where the ids allow it; it is read from the ids alone and changes nothing else."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None or low < 0 or high >= 1 << 32 or docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return WIDE
+    return NARROW
 
 
 def _repeated(phrases: DataFrame) -> DataFrame:
     """The phrases that stand in two places at least."""
     seen = F.xxhash64("doc_id", "txt", "idx")
     twice = phrases.groupBy("sym").agg(F.min(seen).alias("a"), F.max(seen).alias("b")).where("a <> b").select("sym")
-    return phrases.join(twice, "sym", "left_semi")
+    return phrases.join(twice.hint("shuffle_hash"), "sym", "left_semi")
 
 
 # The string table of a level has (seg, i, sym, cover): symbol i of string seg, and how many words it covers.
@@ -278,7 +288,7 @@ def _sampled_ranks(strings: DataFrame) -> DataFrame:
     triples = stored(map_partition(strings.select("seg", "i", "sym", "cover").repartition("seg"), _triples, "seg long, i int, s0 long, s1 long, s2 long, cover int, pseg long, pi int"))
     kinds = triples.groupBy("s0", "s1", "s2").agg(F.count("*").alias("n"), F.max("cover").alias("cover"))
     named = stored(map_partition(kinds.repartitionByRange("s0", "s1", "s2"), _names, "s0 long, s1 long, s2 long, name long, open boolean"))
-    names = stored(triples.join(named, ["s0", "s1", "s2"]).select("seg", "i", F.col("name").alias("sym"), "cover", "pseg", "pi"))
+    names = stored(triples.join(named.hint("shuffle_hash"), ["s0", "s1", "s2"]).select("seg", "i", F.col("name").alias("sym"), "cover", "pseg", "pi"))
     release(triples)
     tied = named.where("open").limit(1).count() > 0
     release(named)
@@ -290,7 +300,7 @@ def _sampled_ranks(strings: DataFrame) -> DataFrame:
     suffixes = stored(rows)
     release(names, ranks)
     ranked = map_partition(_firsts(suffixes, "h").repartitionByRange("s0", "s1", "s2"), _ranked, "h long, rank long")
-    out = stored(suffixes.join(ranked, "h").select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), "rank"))
+    out = stored(suffixes.join(ranked.hint("shuffle_hash"), "h").select(F.col("pseg").alias("seg"), F.col("pi").alias("i"), "rank"))
     release(suffixes)
     return out
 
@@ -306,7 +316,7 @@ def _with_ranks(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return map_partition(rows.repartition("seg"), lambda t: _suffixes(t, carried), SUFFIX + extra), ranks
 
 
-KIND = "g long, q long, n long, head decimal(38,0), head_doc long"
+KIND = "g long, q long, n long, head {place}, head_doc long"
 
 
 def _adjacent(table: pa.Table) -> Iterator[dict]:
@@ -329,10 +339,10 @@ def _families(suffixes: DataFrame) -> DataFrame:
     """
     places = suffixes.where("lo <= hi")
     kinds = _firsts(places, "h", "g", q=F.first("q"), n=F.count("*"), head=F.min("place"), head_doc=F.min("doc_id"))
-    near = map_partition(kinds.repartitionByRange("s0", "s1", "s2"), _adjacent, KIND)
+    near = map_partition(kinds.repartitionByRange("s0", "s1", "s2"), _adjacent, KIND.format(place=kinds.schema["head"].dataType.simpleString()))
     each = stored(near.groupBy("g").agg(F.first("q").alias("q"), F.sum("n").alias("n"), F.min("head").alias("head"), F.min("head_doc").alias("head_doc")))
     several = each.groupBy("q").agg(F.count("*").alias("m")).where("m > 1").select("q", F.lit(True).alias("edge"))
-    out = each.join(several, "q", "left").select("g", "n", "head", "head_doc", F.coalesce("edge", F.lit(False)).alias("edge"))
+    out = each.join(several.hint("shuffle_hash"), "q", "left").select("g", "n", "head", "head_doc", F.coalesce("edge", F.lit(False)).alias("edge"))
     done = stored(out.where("n > 1 OR edge").drop("n"))
     release(each)
     return done
@@ -359,11 +369,11 @@ def _windows(batch: pa.RecordBatch) -> Iterator[dict]:
                 }
 
 
-def _first_windows(windows: DataFrame) -> DataFrame:
+def _first_windows(windows: DataFrame, place: str) -> DataFrame:
     """(g, ls, firsts): the windows of a family that stand before in another, by their distance from its place, and the documents where."""
-    windows = windows.withColumn("place", F.expr(_PLACE.format(at="pos")))
+    windows = windows.withColumn("place", F.expr(place.format(at="pos")))
     first = windows.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.min("doc_id").alias("first_doc"))
-    later = windows.join(first.where("first < last").drop("last"), "hash").where("place > first")
+    later = windows.join(first.where("first < last").drop("last").hint("shuffle_hash"), "hash").where("place > first")
     return later.groupBy("g").agg(F.collect_list("l").alias("ls"), F.collect_list("first_doc").alias("firsts"))
 
 
@@ -407,23 +417,24 @@ def _spans(table: pa.Table) -> Iterator[dict]:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first_doc_id, start_word, n_words): each stretch of words that repeats an earlier one, by the document where it first stands."""
     docs = distinct_rows(id_text(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id", "text")
+    place = _place(docs)
     found = stored(map_arrow(docs, _phrases, PHRASES))
     phrases = stored(_repeated(found))
     release(found)
     strings = stored(map_partition(phrases.repartition("doc_id", "txt"), _runs, STRING + ", txt long, at int, lo int, hi int, fam long, near long"))
     release(phrases)
     rows, ranks = _with_ranks(strings)
-    suffixes = stored(rows.withColumnRenamed("pseg", "doc_id").withColumn("place", F.expr(_PLACE.format(at="at"))).drop("pi"))
+    suffixes = stored(rows.withColumnRenamed("pseg", "doc_id").withColumn("place", F.expr(place.format(at="at"))).drop("pi"))
     release(strings, ranks)
     heads = _families(suffixes)
     families = stored(
-        suffixes.where("lo <= hi").join(heads, "g").select("doc_id", "txt", "at", "lo", "hi", "g", "head_doc", "edge", (F.col("place") == F.col("head")).alias("is_head"))
+        suffixes.where("lo <= hi").join(heads.hint("shuffle_hash"), "g").select("doc_id", "txt", "at", "lo", "hi", "g", "head_doc", "edge", (F.col("place") == F.col("head")).alias("is_head"))
     )
     release(suffixes, heads)
     edges = families.where("edge AND is_head").groupBy("doc_id").agg(*[F.collect_list(k).alias(k) for k in ("txt", "g", "at", "lo", "hi")])
     texts = docs.join(edges, "doc_id").select("doc_id", "text", "txt", "g", "at", "lo", "hi")
     windows = stored(map_arrow(texts, _windows, "hash long, g long, l int, doc_id long, txt long, pos int"))
-    known = families.join(_first_windows(windows), "g", "left").where("ls IS NOT NULL OR NOT is_head")
+    known = families.join(_first_windows(windows, place).hint("shuffle_hash"), "g", "left").where("ls IS NOT NULL OR NOT is_head")
     known = stored(known.select("doc_id", "at", "lo", "hi", "head_doc", "is_head", "ls", "firsts"))
     release(families, windows)
     whole = known.where("ls IS NULL").select("doc_id", F.col("head_doc").alias("first_doc_id"), "lo", "hi")

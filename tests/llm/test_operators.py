@@ -524,6 +524,9 @@ def test_suffix_repeats(spark):
     want = brute_spans(rows)
     got = {tuple(r) for r in suffix_dedup.repeats(table(spark, rows)).select("doc_id", "first_doc_id", "start_word", "n_words").collect()}
     assert got == want and len(want) > 20
+    far = [(None if i is None else i - 30 + (1 << 40), t) for i, t in rows]  # ids that take the wider order of places
+    got = {tuple(r) for r in suffix_dedup.repeats(table(spark, far)).select("doc_id", "first_doc_id", "start_word", "n_words").collect()}
+    assert got == brute_spans(far)
 
 
 def test_suffix_repeats_whose_short_phrases_recur(spark):
