@@ -95,7 +95,7 @@ class View:
         s, n = self.shape, np.maximum(self.n_words, 1)
         letters, capitals = self.per_text((s == 1) | (s == 2)), self.per_text(s == 2)
         ends = self.per_text((s == 10 + ord(".")) | (s == 10 + ord("?")) | (s == 10 + ord("!")))
-        shouts, bars = self.per_text(s == 10 + ord("!")), self.per_text((s == 10 + ord("|")) | (s == 10 + ord("\t")))
+        shouts, bars = self.per_text(s == 10 + ord("!")), self.per_text((s == 10 + ord("|")) | (self.w.raw == 9))
         odd = np.isin(s, [10 + ord(c) for c in "#$%&*+<=>@[]^_`{|}~\\/"]) | (s == 6)
         symbols = self.per_text(odd)
         chars = np.maximum(np.diff(self.base) - 1, 1)
