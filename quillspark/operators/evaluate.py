@@ -68,6 +68,20 @@ def summary(p: DataFrame) -> DataFrame:
     return one.withColumn("f05u", f05u).select("n", "correct", "unanswered", "accuracy", "c_at_1", "f05u", "brier")
 
 
+def f05u_by_threshold(p: DataFrame, threshold: str = "threshold") -> DataFrame:
+    """One row (f05u): as in ``summary``, but a top score of 0.5 is no answer only in rows that carry a threshold. Null without rows."""
+    withheld = F.col(threshold).isNotNull() & (F.col("top") == 0.5)
+    one = p.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum((F.col("true_author") == F.col("predicted_author")).cast("int")), F.lit(0)).alias("nc"),
+        F.coalesce(F.sum(withheld.cast("int")), F.lit(0)).alias("nu"),
+    )
+    n, nc, nu = F.col("n"), F.col("nc"), F.col("nu")
+    precision, recall = F.when(n > nu, nc / (n - nu)), F.when(n > 0, nc / n)
+    f05 = F.when(nc > 0, 1.25 * precision * recall / (0.25 * precision + recall)).otherwise(0.0)
+    f05u = F.when(n == 0, None).when(n == nu, recall).otherwise(((n - nu) * f05 + nu * precision) / n)
+    return one.select(f05u.alias("f05u"))
+
+
 def macro(p: DataFrame) -> DataFrame:
     """Means of precision, recall and F1 over authors."""
     return by_author(p).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
@@ -118,9 +132,9 @@ def mrr(scores: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def brier_by_distance(scores: DataFrame, docs: DataFrame, higher: bool) -> DataFrame:
-    """One row (brier): complement of the Brier score of the top author; distances become 1 - d / largest of the document."""
+    """One row (brier): complement of the Brier score of the top author; distances become 1 - d / largest of the document, 0 where that is 0."""
     w = W.partitionBy("doc_id")
-    conf = F.col("score") if higher else F.when(F.max("score").over(w) > 0, 1 - F.col("score") / F.max("score").over(w)).otherwise(1.0)
+    conf = F.col("score") if higher else F.when(F.max("score").over(w) > 0, 1 - F.col("score") / F.max("score").over(w)).otherwise(0.0)
     s = scores.withColumn("conf", F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf))).where("rank = 1")
     hit = (F.col("author") == F.col("true_author")).cast("double")
     true = docs.select("doc_id", F.coalesce("author", F.lit("")).alias("true_author"))

@@ -316,6 +316,8 @@ SELECT doc_id, i::INTEGER AS boundary_index, score, score >= 0.5 AS is_change FR
 p AS (SELECT author, su, CASE WHEN gi > 0 THEN tp / gi ELSE 0 END AS p, CASE WHEN su > 0 THEN tp / su ELSE 0 END AS r FROM s)
 SELECT author, round(p, 9)::DOUBLE AS "precision", round(r, 9)::DOUBLE AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9)::DOUBLE AS f1, su::BIGINT AS support FROM p"""
     out["source_manifest_summary"] = """SELECT source AS author, count(*)::BIGINT AS n_docs, min(doc_id) AS first_doc_id, substr(arg_min(text, doc_id), 1, 60) AS preview FROM documents GROUP BY source"""
+    out["source_corpus_counts"] = """SELECT source AS corpus_id, count(*)::BIGINT AS document_count FROM documents WHERE source IS NOT NULL GROUP BY source UNION ALL SELECT '(empty)', 0"""
+    out["source_page"] = "SELECT doc_id, source, length(text)::INTEGER AS n_chars FROM documents ORDER BY doc_id DESC, n_chars LIMIT 50 OFFSET 100"
     out["source_segments"] = f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS b, unnest(range(len(string_split(text, chr(10))))) AS part FROM documents),
 s AS (SELECT doc_id, part::INTEGER AS part, len({words('b')})::INTEGER AS n_words, regexp_replace(b, '^{WS}|{WS}$', '', 'g') AS body FROM p) SELECT doc_id, part, n_words, body FROM s WHERE n_words >= 20"""
     return out

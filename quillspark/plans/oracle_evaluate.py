@@ -19,7 +19,7 @@ ex AS (SELECT *, min(CASE WHEN fpr >= fnr THEN i END) OVER (PARTITION BY author)
 ee AS (SELECT author, min(least(CASE WHEN abs(fpr - fnr) < 0.5 THEN greatest(fpr, fnr) ELSE 1 END, CASE WHEN fpr >= fnr THEN (fpr + fnr) / 2 ELSE 1 END)) AS e FROM ex WHERE stop IS NULL OR i <= stop GROUP BY author),
 au2 AS (SELECT author, sum((1 - pos) * tpr / nn) AS a FROM (SELECT *, sum(pos) OVER (PARTITION BY author ORDER BY score, doc_id ROWS UNBOUNDED PRECEDING) / np AS tpr FROM tn) GROUP BY author),
 rr AS (SELECT avg(coalesce(1 / ra.rank, 0)) AS mrr FROM pred LEFT JOIN ra ON ra.doc_id = pred.doc_id AND ra.author = pred.truth),
-cf AS (SELECT doc_id, author, rank, CASE WHEN max(score) OVER (PARTITION BY doc_id) > 0 THEN 1 - score / max(score) OVER (PARTITION BY doc_id) ELSE 1 END AS conf FROM ra),
+cf AS (SELECT doc_id, author, rank, CASE WHEN max(score) OVER (PARTITION BY doc_id) > 0 THEN 1 - score / max(score) OVER (PARTITION BY doc_id) ELSE 0 END AS conf FROM ra),
 bd AS (SELECT 1 - avg(pow(greatest(0, least(1, conf)) - (cf.author = truth)::INT, 2)) AS bd FROM cf JOIN pred USING (doc_id) WHERE rank = 1)"""
 _METRICS = {
     "n": "n", "correct": "nc", "unanswered": "nu", "accuracy": "nc / n", "c_at_1": "(nc + nu * nc / n) / n",
@@ -28,6 +28,12 @@ _METRICS = {
     "auroc": "(SELECT avg(a) FROM au2)", "mrr": "mrr", "brier_by_distance": "bd",
 }
 
+#: Distances rounded to a tenth, so that some are 0.5; half of the documents carry a threshold.
+_THRESHOLDS = f"""WITH {_PRED},
+b AS (SELECT count(*)::DOUBLE AS n, sum((given = truth)::INT)::DOUBLE AS nc, sum((round(score, 1) = 0.5 AND doc_id % 2 = 0)::INT)::DOUBLE AS nu FROM pred),
+b2 AS (SELECT *, nc / (n - nu) AS pr, nc / n AS rc FROM b)
+SELECT round((CASE WHEN n = nu THEN rc ELSE ((n - nu) * CASE WHEN nc > 0 THEN 1.25 * pr * rc / (0.25 * pr + rc) ELSE 0 END + nu * pr) / n END)::DOUBLE, 7) AS f05u FROM b2"""
+
 #: pr: pairs of different documents by the cosine distance of their function words.
 _FUNCTION_PAIRS = f"""f0 AS (SELECT doc_id, unnest(list_filter({words(low('text'))}, lambda x: lower(x) IN ({_in(load_function_words('english'))}))) AS event FROM documents),
 fh AS (SELECT doc_id, event, count(*)::DOUBLE AS c FROM f0 GROUP BY ALL),
@@ -112,6 +118,7 @@ def evaluation_sql() -> dict[str, str]:
         "evaluate_verdicts": f"""WITH {_IMPOSTERS}, ca AS (SELECT doc_id, author, CASE WHEN score BETWEEN 0.35 AND 0.65 THEN 0.5 ELSE score END::DOUBLE AS score FROM im),
 tp AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, author) = 1) SELECT doc_id, author, score, {verdict} AS verdict FROM tp""",
         "evaluate_summary": f"WITH {_SUMMARY} SELECT " + ", ".join(f"round(({e})::DOUBLE, 7) AS {n}" for n, e in _METRICS.items()) + " FROM b3 CROSS JOIN ma CROSS JOIN rr CROSS JOIN bd",
+        "evaluate_thresholds": _THRESHOLDS,
         "evaluate_leave_one_out": f"""WITH {_FUNCTION_PAIRS}, sc AS (SELECT u AS doc_id, author, round(min(dist), 8) AS score FROM pr GROUP BY ALL)
 SELECT doc_id, author, score::DOUBLE AS score FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score, author) = 1""",
         "evaluate_topic_controlled": _TOPICS,

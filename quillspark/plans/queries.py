@@ -154,6 +154,12 @@ def evaluate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(*[F.round(F.col(c).cast("double"), 7).alias(c) for c in one.columns])
 
 
+def evaluate_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F0.5u where only documents with a threshold (here even ids) can go unanswered; distances rounded to a tenth."""
+    p = evaluate.predictions(*_predicted(spark, sf_dir)).withColumn("top", F.round("top", 1)).withColumn("threshold", F.when(F.col("doc_id") % 2 == 0, F.lit(0.5)))
+    return evaluate.f05u_by_threshold(p).select(F.round("f05u", 7).alias("f05u"))
+
+
 def evaluate_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function words, cosine, nearest neighbour: each document against all others, as one pair join."""
     docs = corpus(spark, sf_dir)
@@ -224,6 +230,22 @@ def source_manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(corpus(spark, sf_dir))
 
 
+def source_corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source's corpus; the source that no document names has none."""
+    from ..sources.documents import corpus_counts
+
+    members = table(spark, sf_dir, "documents").select(F.col("source").alias("corpus_id"), "doc_id")
+    named = members.select("corpus_id").where("corpus_id IS NOT NULL").distinct().union(spark.createDataFrame([("(empty)",)], "corpus_id string"))
+    return corpus_counts(named, members)
+
+
+def source_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing's third page of 50 documents, newest id first."""
+    from ..sources.documents import page
+
+    return page(table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n_chars")), [F.desc("doc_id"), F.asc("n_chars")], 50, 100)
+
+
 def source_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut at lines that end a sentence, parts of at least 20 words."""
     from ..sources.segments import split_parts
@@ -295,8 +317,8 @@ def queries() -> dict[str, Query]:
         "method_logistic_regression": _vectors("logistic_regression"), "method_contrastive_vectors": _vectors("contrastive"),
     }
     out |= {f.__name__: f for f in (
-        evaluate_by_author, evaluate_confusion, evaluate_summary, evaluate_leave_one_out, evaluate_k_fold, evaluate_cross_genre, evaluate_topic_controlled,
-        evaluate_verdicts, source_html, source_manifest_summary, source_segments, streaming_score,
+        evaluate_by_author, evaluate_confusion, evaluate_summary, evaluate_thresholds, evaluate_leave_one_out, evaluate_k_fold, evaluate_cross_genre, evaluate_topic_controlled,
+        evaluate_verdicts, source_html, source_manifest_summary, source_corpus_counts, source_page, source_segments, streaming_score,
     )}
     return out
 

@@ -151,6 +151,26 @@ def summary(docs: DataFrame) -> DataFrame:
     return docs.select("author", "doc_id", preview.alias("preview"), n.alias("n_docs"), first.alias("r")).where("r = 1").select("author", "n_docs", F.col("doc_id").alias("first_doc_id"), "preview")
 
 
+def corpus_counts(corpora: DataFrame, members: DataFrame) -> DataFrame:
+    """``corpora`` (corpus_id, ...) with document_count, the rows of ``members`` (corpus_id, doc_id) that name each; 0 without any."""
+    n = members.where("corpus_id IS NOT NULL").groupBy("corpus_id").agg(F.count("*").alias("document_count"))
+    return corpora.join(n, "corpus_id", "left").fillna(0, ["document_count"])
+
+
+def page(rows: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of a listing: ``limit`` rows after the first ``offset`` of that order, which should leave no ties."""
+    if limit < 0 or offset < 0:
+        raise LoadError("limit and offset must not be negative")
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def import_sample_corpus(spark: SparkSession, manifest_path: str, corpus_id: str, target: str, base_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Copies one corpus of the catalogue to Parquet at ``target``, a folder for each role; returns its known and unknown documents, read from the copy."""
+    sample_corpus(spark, manifest_path, corpus_id, base_dir).withColumn("role", F.when(F.col("known"), "known").otherwise("unknown")).write.partitionBy("role").mode("errorifexists").parquet(target)
+    got = spark.read.parquet(target)
+    return tuple(got.where(F.col("role") == role).drop("role") for role in ("known", "unknown"))
+
+
 def sample_corpora(spark: SparkSession, manifest_path: str) -> DataFrame:
     """(id, name, description, n_known, n_unknown, n_authors) of a JSON catalogue of corpora."""
     schema = "id string, name string, description string, known array<struct<file:string,author:string>>, unknown array<struct<file:string,true_author:string>>"

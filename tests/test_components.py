@@ -141,6 +141,22 @@ def test_metrics(spark):
     assert json.loads(sinks.results_json(p))["summary"]["n"] == 3
 
 
+def test_no_answer_needs_a_threshold(spark):
+    schema = "fold int, doc_id long, true_author string, predicted_author string, top double, threshold double"
+    rows = [(0, 1, "A", "A", 0.9, 0.5), (0, 2, "A", "B", 0.5, 0.5), (0, 3, "B", "B", 0.5, None), (0, 4, "B", "A", 0.8, None)]
+    get = lambda r: evaluate.f05u_by_threshold(spark.createDataFrame(r, schema)).first()[0]
+    f05 = 1.25 * (2 / 3) * (2 / 4) / (0.25 * (2 / 3) + 2 / 4)  # two of three answers are right
+    assert abs(get(rows) - (3 * f05 + 2 / 3) / 4) < 1e-12
+    assert get(rows[1:2]) == 0.0 and get([]) is None
+    assert get(rows[2:3]) == 1.0
+
+
+def test_brier_of_distances_that_are_all_zero(spark):
+    docs = spark.createDataFrame([(1, "A")], "doc_id long, author string")
+    s = spark.createDataFrame([(1, 1, "A", 0.0), (1, 2, "B", 0.0)], "doc_id long, rank int, author string, score double")
+    assert evaluate.brier_by_distance(s, docs, False).first()[0] == 0.0
+
+
 def test_verdicts(spark):
     r = spark.createDataFrame([(1, 1, "A", 0.5), (2, 1, "A", 0.6), (3, 1, "A", 0.4)], "doc_id long, rank int, author string, score double")
     assert {x["doc_id"]: x["verdict"] for x in verdicts(r).collect()} == {1: "INCONCLUSIVE", 2: "VERIFIED", 3: "REJECTED"}
@@ -172,6 +188,28 @@ def test_files(spark, tmp_path):
     }
 
 
+def test_corpora(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.txt").write_text(f"text {name}")
+    (tmp_path / "m.json").write_text(json.dumps([{"id": "x", "name": "X", "description": "", "known": [{"file": "a.txt", "author": "A"}],
+        "unknown": [{"file": "b.txt", "true_author": "A"}, {"file": "c.txt", "true_author": "NONE"}]}]))
+    known, unknown = documents.import_sample_corpus(spark, str(tmp_path / "m.json"), "x", str(tmp_path / "copy"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        documents.import_sample_corpus(spark, str(tmp_path / "m.json"), "x", str(tmp_path / "copy"))
+    for name in "abc":
+        (tmp_path / f"{name}.txt").unlink()  # the copy stands alone
+    assert [(r["text"], r["author"]) for r in known.collect()] == [("text a", "A")]
+    assert {r["text"]: r["true_author"] for r in unknown.collect()} == {"text b": "A", "text c": None}
+
+
+def test_counts_and_pages(spark):
+    corpora = spark.createDataFrame([("a", "one"), ("b", "two")], "corpus_id string, name string")
+    members = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("z", 4)], "corpus_id string, doc_id long")
+    assert {r["corpus_id"]: r["document_count"] for r in documents.corpus_counts(corpora, members).collect()} == {"a": 2, "b": 0}
+    page = lambda limit, offset: [r[0] for r in documents.page(spark.range(10), [F.desc("id")], limit, offset).collect()]
+    assert page(3, 2) == [7, 6, 5] and page(5, 9) == [0] and page(5, 10) == [] and page(0, 0) == []
+
+
 def test_command_line(spark, tmp_path, capsys):
     for n, t in (("a", "the cat sat here with the cat"), ("b", "a dog ran far and a dog bit"), ("u", "my cat sat with your cat")):
         (tmp_path / f"{n}.txt").write_text(t)
