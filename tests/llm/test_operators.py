@@ -502,6 +502,75 @@ def test_simhash_pairs_against_brute_force(spark):
     assert len(got) >= 0.9 * len(want)
 
 
+def all_near(sig, ids, max_bits):
+    """All pairs by brute force."""
+    out = {}
+    for i in range(len(ids)):
+        for j in range(i):
+            bits = int(np.bitwise_count(sig[i] ^ sig[j]).sum())
+            if bits <= max_bits and ids[i] != ids[j]:
+                out[min(ids[i], ids[j]), max(ids[i], ids[j])] = bits
+    return out
+
+
+def signed(spark, sig, ids):
+    return spark.createDataFrame([(i, *[int(x) for x in s.view(np.int64)]) for i, s in zip(ids, sig, strict=True)], "rep long, s0 long, s1 long, s2 long")
+
+
+def spread(rng, sig, each):
+    """sig with so many bits changed in each of nine segments of 21 or 22 bits, anywhere in them."""
+    bits, lo = np.unpackbits(sig.view(np.uint8), bitorder="little"), 0
+    for n in (21, 21, 22) * 3:
+        for k in rng.sample(range(n), each):
+            bits[lo + k] ^= 1
+        lo += n
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def test_simhash_pairs_are_all_found(spark):
+    """Differences spread evenly over the signature, at any threshold, with and without blocks."""
+    rng, draw = random.Random(31), np.random.default_rng(31)
+    sig = []
+    for _ in range(30):
+        s = draw.integers(0, 2**64, 3, dtype=np.uint64)
+        sig += [s, spread(rng, s, 2), spread(rng, s, 3)]
+        for n in (29, 30, 31):
+            flip = np.zeros(192, np.uint8)
+            flip[rng.sample(range(192), n)] = 1
+            sig.append(s ^ np.packbits(flip, bitorder="little").view(np.uint64))
+    ids = rng.sample(range(10**6), len(sig))
+    reps = signed(spark, np.array(sig), ids).cache()
+    for max_bits in (0, 1, 17, 27, 30, 31, 60):
+        want = all_near(sig, ids, max_bits)
+        for blocks in ({}, {"bucket_rows": 2, "one_in": 1}):
+            got = [(r["a"], r["b"], r["bits"]) for r in simhash_dedup.near_pairs(reps, max_bits, **blocks).collect()]
+            assert len(got) == len(want) and {(a, b): n for a, b, n in got} == want
+            few = simhash_dedup.near_pairs(reps, max_bits, every=False, **blocks).select("a", "b")
+            assert components(few.collect()) == components(want)
+        assert max_bits < 27 or sum(b == 27 for b in want.values()) >= 30
+
+
+def scattered_copies(rng, n):
+    """n pairs of texts 18 to 30 bits apart, with two differences at least in each of nine segments of 21 or 22 bits."""
+    rows = []
+    while len(rows) < 2 * n:
+        ws = prose(rng, 150).split()
+        x = list(ws)
+        for _ in range(10):
+            x[rng.randrange(len(x))] = rng.choice(VOCAB)
+        texts = [" ".join(ws), " ".join(x)]
+        (a, b), _ = simhash_dedup.signatures_of(texts)
+        diff = np.unpackbits((a ^ b).view(np.uint8), bitorder="little")
+        if 18 <= diff.sum() <= 30 and np.add.reduceat(diff, np.cumsum([0] + [21, 21, 22] * 3)[:-1]).min() >= 2:
+            rows += [(len(rows), texts[0]), (len(rows) + 1, texts[1])]
+    return rows
+
+
+def test_simhash_joins_copies_whose_differences_are_scattered(spark):
+    rows = scattered_copies(random.Random(32), 3)
+    assert {(r["doc_id"], r["duplicate_of"]) for r in simhash_dedup.duplicates(table(spark, rows)).collect()} == {(1, 0), (3, 2), (5, 4)}
+
+
 def test_simhash_groups_against_brute_force(spark):
     """Signatures bit by bit, pairs by all pairs, groups by their smallest id: the whole operator restated."""
     rng = random.Random(24)
