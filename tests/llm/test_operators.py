@@ -951,6 +951,24 @@ def test_pipeline_is_its_stages(spark, sf, tmp_path):
     assert got == {r["doc_id"]: r["tokens"] for r in out.collect()}
 
 
+def test_pipeline_drops_all_near_copies(spark, tmp_path):
+    """Copies whose differences are scattered over the signature: the stage against all pairs, then the whole pipeline."""
+    rng = random.Random(33)
+    rows = [(1000 + i, t) for i, t in scattered_copies(rng, 4)] + [(100 + i, t) for i, t, _ in toxic_set(100, 3)]
+    labels = spark.createDataFrame([(100 + i, 1, y) for i, _, y in toxic_set(100, 3)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sig, _ = simhash_dedup.signatures_of([t for _, t in rows])
+    gone = {i for i, r in components(all_near(sig, [i for i, _ in rows], simhash_dedup.MAX_BITS)).items() if i != r}
+    assert {1001, 1003, 1005, 1007} <= gone
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    assert kept == {i for i, _ in rows} - gone
+    left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i for i in left if i >= 1000} == {1000, 1002, 1004, 1006}
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Nulls, empty and long texts, repeated rows and extra columns go through all stages, and an empty table gives none."""
     rng = random.Random(27)
