@@ -15,7 +15,7 @@ so the comparisons grow with the square of the signatures.
 
 Cases: a null id, a null text or a text without words is never a duplicate and never reported.
 Rows with equal word sets have equal signatures and are duplicates (of ties the smallest id stays). Rows that
-repeat an id are one document. Extra columns are ignored. An empty table gives an empty result.
+repeat an id are one document: what is near any of its texts is in its group. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, distinct_rows, forest, id_text, map_arrow, map_partition, numpy_column, stored
+from .common import connected_components, distinct_rows, forest, id_text, map_arrow, map_partition, numpy_column, release, stored
 from .textcore import Words, mix, segment_reduce, text_slices
 
 BITS = 192
@@ -268,13 +268,18 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, duplicate_of): each document that a group drops, and the smallest id of its group, which stays."""
     sigs = stored(signatures(docs, id_col, text_col).dropDuplicates(["doc_id", "s0", "s1", "s2"]))
     reps = stored(sigs.groupBy("s0", "s1", "s2").agg(F.min("doc_id").alias("rep")))
-    # an id with several texts stands for each of its signatures
-    roots = connected_components(near_pairs(reps, max_bits, every=False))
+    near = near_pairs(reps, max_bits, every=False).select("a", "b")
+    again = stored(sigs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.limit(1).count():  # an id with several texts links the representatives of its signatures
+        several = sigs.join(again, "doc_id", "left_semi").join(reps, ["s0", "s1", "s2"])
+        near = near.union(several.where("rep < doc_id").select("rep", "doc_id"))
+    roots = connected_components(near)
+    release(again)
     member = sigs.join(reps, ["s0", "s1", "s2"]).select("doc_id", "rep")
     to_root = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("root", "rep").alias("duplicate_of")
     )
-    return to_root.where("doc_id <> duplicate_of").groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of"))
+    return to_root.where("doc_id <> duplicate_of").distinct()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -617,6 +617,27 @@ def test_simhash_groups_against_brute_force(spark):
     assert {r["doc_id"]: r["duplicate_of"] for r in simhash_dedup.duplicates(table(spark, rows)).collect()} == want
 
 
+def repeated_ids(rng):
+    """Documents of several texts, some near those of other documents, in chains over two ids and three."""
+    t = [prose(rng, 120) for _ in range(9)]
+    near = [x.replace(" ", ". ", 2) + " al" for x in t]
+    return [
+        (5, t[0]), (7, near[0]), (7, t[1]), (9, near[1]),  # 9 is near 7 alone, which is near 5
+        (29, t[2]), (29, t[3]), (23, near[2]), (25, near[3]),  # 23 and 25 are near 29 alone
+        (30, t[4]), (34, t[4]), (34, t[5]), (32, near[5]), (32, t[6]), (36, near[6]),
+        (40, t[7]), (40, t[8]), (50, prose(rng, 120)),
+    ]
+
+
+def test_simhash_links_by_ids_with_several_texts(spark):
+    rows = repeated_ids(random.Random(34))
+    sig, _ = simhash_dedup.signatures_of([t for _, t in rows])
+    want = {i: r for i, r in components(all_near(sig, [i for i, _ in rows], simhash_dedup.MAX_BITS)).items() if i != r}
+    assert want == {7: 5, 9: 5, 25: 23, 29: 23, 32: 30, 34: 30, 36: 30}
+    got = [(r["doc_id"], r["duplicate_of"]) for r in simhash_dedup.duplicates(table(spark, rows)).collect()]
+    assert sorted(got) == sorted(want.items())
+
+
 def test_simhash_of_odd_rows(spark):
     rng = random.Random(12)
     df = table(spark, odd(rng))
@@ -969,6 +990,12 @@ def test_pipeline_drops_all_near_copies(spark, tmp_path):
     assert {i for i in left if i >= 1000} == {1000, 1002, 1004, 1006}
 
 
+def test_pipeline_links_by_ids_with_several_texts(spark, tmp_path):
+    rows = [(1000 + i, t) for i, t in repeated_ids(random.Random(35))]
+    kept = corpus_pipeline.drop_near_copies(spark, table(spark, rows), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1005, 1023, 1030, 1040, 1040, 1050]
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     """Nulls, empty and long texts, repeated rows and extra columns go through all stages, and an empty table gives none."""
     rng = random.Random(27)
