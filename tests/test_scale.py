@@ -98,3 +98,40 @@ def test_tau_of_many_pairs(tau):
     h = [[{f"{e:02}": int(c) for e, c in enumerate(row) if c} for row in x] for x in m]
     for i, j in itertools.product(range(40), range(9)):
         assert abs(got[i, j] - fn.fn(h[0][i], h[1][j])) < 1e-9, (i, j)
+
+
+def test_linear_support_vectors_by_features():
+    """Weights of features give the margins that weights of documents gave."""
+    from quillspark.operators import solvers
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(80, 5)), np.array(list("ABC"))[rng.integers(0, 3, 80)]
+    x[:, 0] += y == "A"
+    new, k = solvers.KernelSvm(x, y, "linear"), x @ x.T
+    assert new.x.size == 0
+    for c, (w, bias, *_) in zip(new.classes, new.parts):
+        alpha, b = solvers.KernelSvm._solve(k, np.where(y == c, 1.0, -1.0))
+        assert np.allclose(x @ w + bias, k @ alpha + b, atol=1e-8)
+
+
+def test_topics_at_once_are_the_protocols_one_by_one(spark, monkeypatch):
+    rng = random.Random(8)
+    words = "the of and to a in that is was it for with".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 9))), rng.choice("ABC"), rng.choice(["1", "2", "2", None])) for i in range(40)] + [(90, "the of", "D", "3"), (91, "the", "A", "3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, author string, topic string")
+    config = Config(("function_words",), (), (), "cosine", "nearest_neighbor")
+    get = lambda: sorted((r["protocol"], r["fold"], r["doc_id"], r["rank"], r["author"], round(r["score"], 9)) for r in evaluate.topic_controlled(config, docs).collect())
+    ranks = lambda rows: {(p, f, d, a): s for p, f, d, _, a, s in rows}
+    once = get()
+    monkeypatch.setattr(evaluate, "_topics_at_once", lambda *a: None)
+    assert ranks(once) == ranks(get())
+
+
+def test_folds_by_their_first_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i * 7 % 31, f"{'x y' if i % 2 else 'y z'} w{i % 5}", "AB"[i % 2]) for i in range(20)], "doc_id long, text string, author string")
+    config = Config(("word_events",), (), (), "cosine", "centroid")
+    get = lambda: {(r["fold"], r["doc_id"], r["author"]): round(r["score"], 9) for r in evaluate.k_fold(config, docs, 3, shuffle=False).collect()}
+    sent = []
+    monkeypatch.setattr(evaluate, "by_folds", lambda *a, f=evaluate.by_folds: sent.append(1) or f(*a))
+    got = get()
+    assert not sent and {d: f for f, d, _ in got} == evaluate.folds_for(sorted(r[0] for r in docs.collect()), 3, False)
