@@ -135,3 +135,16 @@ def test_folds_by_their_first_ids(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "by_folds", lambda *a, f=evaluate.by_folds: sent.append(1) or f(*a))
     got = get()
     assert not sent and {d: f for f, d, _ in got} == evaluate.folds_for(sorted(r[0] for r in docs.collect()), 3, False)
+
+
+def test_equal_neighbours_change_nothing(spark):
+    """Paragraphs A, B, A: both boundaries are equally far, to the last bit and in whatever order events are summed."""
+    from quillspark.operators.style import style_changes
+
+    rng = random.Random(1)
+    docs = []
+    for i in range(300):
+        a, b = (" ".join(rng.choices([f"w{j}" for j in range(40)], k=rng.randrange(20, 90))) for _ in "ab")
+        docs.append((i, "\n\n".join([a, b, " ".join(rng.sample(a.split(), len(a.split())))])))
+    got = style_changes(spark.createDataFrame(docs, "doc_id long, text string"), Config(("word_events",), (), (), "cosine")).collect()
+    assert len(got) == 600 and all(r["score"] == 0 for r in got)
